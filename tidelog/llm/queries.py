@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, license, quality, toxicity, warc
+from . import bpe, dac, decontam, license, multiset, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     return license.scan_licenses(table(spark, sf_dir, "documents")).select(*columns)
@@ -33,10 +37,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op4_license_scan, op6_warc_bundles, op7_quality, op8_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op3_fingerprints, op4_license_scan, op6_warc_bundles, op7_quality, op8_toxicity, op9_decontamination, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
