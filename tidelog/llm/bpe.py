@@ -216,11 +216,7 @@ def _digests(c: Codec, ids: np.ndarray, counts: np.ndarray) -> tuple[list[str],
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): how many ids its text has, and digests of the ids and of what they decode to.
-
-    A null text is empty and has no ids. Rows that repeat are each answered. No shuffle.
-    """
+def _encoded(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
     runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,24 +225,25 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
             for s in K.slices(batch.column(1)):
                 ids, counts = c.encoder.encode(s)
                 shown, decoded = _digests(c, ids, counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(shown), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = {"doc_id": batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(shown), "decoded_sha256": pa.array(decoded)}
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    return docs.select("doc_id", "text").mapInArrow(run, DIGEST + ", ids array<int>" * with_ids)
 
 
-def encode_ids(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id`` and ``ids`` (array of int) of each row."""
-    runtime.ship(docs.sparkSession)
+def encode_digests(docs: DataFrame, path: str) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): how many ids its text has, and digests of the ids and of what they decode to.
+
+    A null text is empty and has no ids. Rows that repeat are each answered. No shuffle.
+    """
+    return _encoded(docs, path, False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for batch in batches:
-            for s in K.slices(batch.column(1)):
-                ids, counts = c.encoder.encode(s)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), lists], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """Like :func:`encode_digests`, with the ids themselves in ``ids``."""
+    return _encoded(docs, path, True)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:

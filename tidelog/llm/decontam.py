@@ -59,7 +59,7 @@ def _probes(windows: DataFrame) -> DataFrame:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, carried: list[str], bound: int = BOUND) -> DataFrame:
-    """A row for each row of ``docs`` (with ``text``): ``carried`` columns, n_words, spans (pos, len) and items.
+    """A row for each row of ``docs`` (with ``text``): row (a struct of ``carried``), n_words, spans (pos, len) and items.
 
     Rows are told apart by their place in the input, so repeated rows and ids are each answered.
     """
@@ -88,7 +88,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, carried: list[str], bound:
     tested = spread.select("rid", "row", "n_words", "span", F.when(F.col("span").isNotNull(), F.concat_ws(" ", F.expr("slice(w, span.pos + 1, span.len)"))).alias("gram"), F.col("span.len").alias("len"))
     joined = tested.join(windows, ["gram", "len"], "left").withColumn("hit", F.when(F.col("items").isNotNull(), F.col("span")))
     grouped = joined.groupBy("rid").agg(F.first("row").alias("row"), F.first("n_words").alias("n_words"), F.collect_set("hit").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    return grouped.select("row.*", "n_words", "spans", "items")
+    return grouped.select("row", "n_words", "spans", "items")
 
 
 def _hit_words() -> Column:
@@ -106,7 +106,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND) ->
     """
     found = find_hits(docs, benchmark, ["doc_id"], bound).withColumn("n_hit", F.size(_hit_words()).cast("long"))
     listed = F.concat_ws(",", F.array_sort("items"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND) -> DataFrame:
@@ -116,9 +116,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND) ->
     """
     columns = docs.columns
     found = find_hits(docs, benchmark, columns, bound).withColumn("hit", _hit_words()).withColumn("n_hit", F.size("hit").cast("long")).where(~contaminated())
-    cut = found.withColumn("ow", F.when(F.size("hit") > 0, F.array_remove(F.split("text", SEPARATOR_ANY_CASE), ""))).withColumn("os", F.when(F.size("hit") > 0, F.split("text", WORD_ANY_CASE)))
+    cut = found.withColumn("ow", F.when(F.size("hit") > 0, F.array_remove(F.split("row.text", SEPARATOR_ANY_CASE), ""))).withColumn("os", F.when(F.size("hit") > 0, F.split("row.text", WORD_ANY_CASE)))
     kept = "transform(sequence(0, size(ow) - 1), j -> concat(CASE WHEN array_contains(hit, j) THEN '' ELSE ow[j] END, CASE WHEN array_contains(hit, j) AND array_contains(hit, j + 1) THEN '' ELSE os[j + 1] END))"
-    cleaned = cut.withColumn("text", F.expr(f"CASE WHEN size(hit) > 0 THEN concat(os[0], array_join({kept}, '')) ELSE text END"))
-    if "n_chars" in columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.size("hit") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cleaned.select(*columns)
+    changed = F.size("hit") > 0
+    text = F.when(changed, F.concat(F.col("os")[0], F.array_join(F.expr(kept), ""))).otherwise(F.col("row.text"))
+    # The text is made once, for itself and for its length.
+    cleaned = cut.withColumn("clean", text)
+    new = {"text": F.col("clean"), "n_chars": F.when(changed, F.char_length("clean").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("row.n_chars")) if "n_chars" in columns else None}
+    return cleaned.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns))

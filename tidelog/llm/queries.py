@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, decontam, license, multiset, quality, toxicity, warc
+from . import bpe, dac, decontam, license, minhash, multiset, quality, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -45,6 +53,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op3_fingerprints, op4_license_scan, op6_warc_bundles, op7_quality, op8_toxicity, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_near_duplicates, op3_fingerprints, op4_license_scan, op5_suffix_dedup, op6_warc_bundles, op7_quality, op8_toxicity, op9_decontamination, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {}

@@ -9,7 +9,10 @@ that leaves weights only where they matter. A document's score sums the weights
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import linear, runtime
@@ -119,3 +122,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = linear.SAMP
     score is 0.5. The model is fitted on at most ``sample`` labelled rows outside the held-out fold.
     """
     return linear.decided(linear.score(docs, fit(docs, labels, sample), rate), THRESHOLD)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = linear.SAMPLE) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, others) that :func:`score_toxicity` does not reject, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    columns = docs.columns
+    text = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in K.slices(batch.column(text)):
+                yield batch.slice(s.lo, s.hi - s.lo).filter(pa.array(rate(s, shared.value) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
