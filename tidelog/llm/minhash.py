@@ -7,12 +7,12 @@ band with probability 1 - (1 - s**ROWS)**(PERMUTATIONS / ROWS), at 0.8 all but o
 
 An odd sketch keeps, for each place of a bitmap, whether an odd number of the minima fell there. The exclusive or of two
 sketches holds just the minima that differ, and its number of ones tells how many those are, most precisely where they
-are few. Candidates with more than FAR ones are far below the threshold (it lies six deviations away for minima and
-four for the sketch) and are dropped; all others are confirmed on full sets.
+are few. Candidates with more than FAR ones are far below the threshold (a pair at the threshold has 47 on average, with a deviation of 10) and are dropped; all others are confirmed on full sets.
 
 Within a bucket every class is compared with the bucket's first class, not with all. What is linked so is joined into
-components; only buckets with classes of several components are then compared across components. So a link is lost
-only if its ends are in one component already.
+components; then, in buckets with classes of several components, those outside the largest are compared with the
+other components (all their classes, in blocks) and those that are still alone with each other. So a link is lost only
+if its ends are in one component already.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ ROWS = 4
 BANDS = PERMUTATIONS // ROWS
 #: Words of 64 bits in an odd sketch.
 SKETCH = 8
-FAR = 140
+FAR = 100
 #: Similarity of a link, in hundredths.
 PERCENT = 80
 WIDTH = 5
@@ -182,32 +182,97 @@ def linked_classes(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame
     links = runtime.stored(_confirmed(docs, classes, tried, width), "links")
     labels = components(links)
 
-    # Buckets whose classes are in several components: those outside the largest one, with all of other components.
-    labelled = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left_over = runtime.stored(labelled.join(mixed, "key"), "mixed-buckets")
-    sizes = left_over.groupBy("key", "component").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("major"))
-    marked = left_over.join(major, "key").join(sketches, "id")
-    minor = marked.where("component != major").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    others = marked.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), (F.col("component") == F.col("major")).alias("large"))
-    crossed = minor.join(others, "key").where((F.col("ca") != F.col("cb")) & (F.col("large") | (F.col("a") < F.col("b"))) & _near("sa", "sb"))
-    known = tried.select("a", "b").union(tried.select("b", "a"))
-    new = runtime.stored(crossed.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "cross-candidates")
+    sized = labels.groupBy("component").agg(F.count("*").alias("size"))
+    labels = runtime.stored(labels.join(sized, "component").select("id", "component", "size"), "sized-labels")
+
+    # Buckets whose classes are in several components: every class outside the largest one is still to be compared.
+    labelled = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    held = labelled.groupBy("key", "component", "size").agg(F.count("*").alias("n"))
+    mixed = held.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("n", "component")).alias("most")).where("several > 1").select("key", F.col("most.component").alias("major"))
+    open_ones = runtime.stored(labelled.join(mixed, "key").where("component != major OR size = 1").select("key", "id", "component", "size"), "open-classes")
+    wholes = held.where("size > 1").join(mixed, "key").select("key", F.col("component").alias("other"))
+    with_components = open_ones.join(wholes, "key").where("component != other").select(F.col("id").alias("a"), F.col("other").alias("component")).distinct()
+    new = _linked_to_components(docs, classes, labels, runtime.stored(with_components, "with-components"), width)
+
+    single = open_ones.where("size = 1").select("key", "id").join(classes.select("id", "bands", F.struct(*(f"s{k}" for k in range(SKETCH))).alias("sketch")), "id")
+    x, y = (single.select("key", F.col("id").alias(c), F.col("bands").alias(f"bands_{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    # A pair that shares several bands is tried in the first of them only.
+    first_band = F.expr("get(filter(zip_with(bands_a, bands_b, (x, y) -> CASE WHEN x = y THEN x END), z -> z IS NOT NULL), 0)")
+    pairs = runtime.stored(x.join(y, "key").where((F.col("a") > F.col("b")) & _near("sa", "sb") & (first_band == F.col("key"))).select("a", "b"), "single-pairs")
+    new = runtime.stored(new.unionByName(_confirmed(docs, classes, pairs, width)), "new-links")
     if new.isEmpty():
-        return labels
-    more = runtime.stored(_confirmed(docs, classes, new, width), "cross-links")
-    if more.isEmpty():
-        return labels
-    return components(links.unionByName(more))
+        return labels.select("id", "component")
+    return components(links.unionByName(new))
+
+
+#: Shingles of the classes that are compared with each other at once.
+BLOCK = 1 << 16
+
+
+def _linked_to_components(docs: DataFrame, classes: DataFrame, labels: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(a, b): a link of each asked class to each component (a, component) that has a class it is similar to.
+
+    Both sides are dealt into blocks of about BLOCK shingles and compared block by block; a block pair is one
+    row and gives one link at most for each of its asked classes, so pairs are never listed.
+    """
+    spots = classes.select("id", "f", "r", "n")
+
+    def blocks(members: DataFrame, name: str) -> DataFrame:
+        """(component, block) with lists of ids and sets, from (id, component)."""
+        placed = members.join(spots, "id")
+        totals = placed.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+        dealt = placed.join(totals, "component").select("f", "r", F.col("id").alias("own"), "component", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+        side = Sidecar.write(dealt, name)
+
+        def work(s: K.Slice, f: int, numbers: np.ndarray, row: np.ndarray, found: np.ndarray) -> dict:
+            sets, at = shingle_sets(s, width)
+            return {"own": found[:, 0], "component": found[:, 1], "block": found[:, 2], "members": pa.array([sets[at[i] : at[i + 1]].tobytes() for i in row], pa.binary())}
+
+        got = scan_beside(docs, side, work, "own long, component long, block long, members binary")
+        # BLOCK bounds the list.
+        return got.groupBy("component", "block").agg(F.collect_list(F.struct("own", "members")).alias(name))
+
+    left = blocks(asked.select(F.col("a").alias("id"), "component"), "asked")
+    right = blocks(labels.select("id", "component").join(asked.select("component").distinct(), "component"), "standing")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(listed):
+            own = [x["own"].as_py() for x in listed]
+            sets = [np.frombuffer(x["members"].as_buffer(), K.U64) for x in listed]
+            return own, sets, np.array([len(x) for x in sets])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = [], []
+                own, sets, _ = parts(x.values if hasattr(x, "values") else x)
+                others, other_sets, sizes = parts(y.values if hasattr(y, "values") else y)
+                flat = np.concatenate(other_sets)
+                starts = np.cumsum(sizes) - sizes
+                order = np.argsort(flat, kind="stable")
+                ranked = flat[order]
+                for i, u in zip(own, sets, strict=True):
+                    low, high = np.searchsorted(ranked, u, "left"), np.searchsorted(ranked, u, "right")
+                    marks = np.zeros(len(flat) + 1, np.int32)
+                    np.add.at(marks, low, 1)
+                    np.add.at(marks, high, -1)
+                    within = np.zeros(len(flat), np.int64)
+                    within[order] = np.cumsum(marks[:-1])
+                    same = np.add.reduceat(within, starts)
+                    hit = np.flatnonzero(100 * same >= PERCENT * (len(u) + sizes - same))
+                    if len(hit):
+                        a.append(i)
+                        b.append(others[hit[0]])
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.join(right, "component").select("asked", "standing").mapInArrow(run, "a long, b long")
 
 
 def grouped(docs: DataFrame, width: int) -> DataFrame:
     """Of each row of ``docs`` (which reads files): place, doc_id, size of its set, component (null without a doc_id)."""
     sets = runtime.stored(set_table(docs, width), "sets")
     one, signature = F.struct("doc_id", "f", "r"), F.struct("bands", *(f"s{k}" for k in range(SKETCH)))
-    named = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("name1", "name2").agg(F.min(one).alias("one"), F.min_by(signature, one).alias("sig"))
-    classes = runtime.stored(named.select("name1", "name2", F.col("one.doc_id").alias("id"), "one.f", "one.r", "sig.*"), "classes")
+    named = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("name1", "name2").agg(F.min(one).alias("one"), F.max("n").alias("n"), F.min_by(signature, one).alias("sig"))
+    classes = runtime.stored(named.select("name1", "name2", F.col("one.doc_id").alias("id"), "one.f", "one.r", "n", "sig.*"), "classes")
     linked = linked_classes(docs, classes, width)
     of_class = classes.select("name1", "name2", "id").join(linked, "id", "left").select("name1", "name2", F.coalesce("component", "id").alias("component"))
     named_row = lambda c: F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c)
