@@ -34,14 +34,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 450_000):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks the bytes {missing[:5]}")
         self.ranks, self._limit = ranks, limit
         self.token = {v: k for k, v in ranks.items()}
         self._begins = {t[:k] for t in ranks for k in range(1, len(t))}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -72,12 +72,13 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def _pair(self, a: int, b: int) -> bool:
-        key = (a, b)
-        if key not in self._fits:
+        key = a << 32 | b
+        fits = self._fits.get(key)
+        if fits is None:
             if len(self._fits) > self._limit:
                 self._fits.clear()
-            self._fits[key] = self.merge(self.token[a] + self.token[b]) == [a, b]
-        return self._fits[key]
+            fits = self._fits[key] = self.merge(self.token[a] + self.token[b]) == [a, b]
+        return fits
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """``last[j]``: the last token of the encoding that ends after j pending bytes; -1: none yet, None: never asked for."""
