@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import before_parts, with_range
+
 
 def rank_percentile(values: DataFrame, column: str, quantiles: list[float]) -> DataFrame:
     """(quantile, value): of n ascending values that at place floor(q * (n - 1)), places from 0.
 
-    Equal values are counted before anything is sorted, so the sort has a row for each distinct value.
+    Equal values are counted first; distinct values are dealt into ranges and ranked within them, after the sum of
+    the ranges before.
     """
-    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    gathered = counts.agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("all"), F.sum("c").alias("n"))
-    running = gathered.withColumn("ends", F.expr("transform(all, (x, i) -> struct(x.v AS v, aggregate(slice(all, 1, i + 1), 0L, (s, y) -> s + y.c) AS upto))"))
-    asked = F.explode(F.array(*(F.lit(float(q)) for q in quantiles))).alias("quantile")
-    at = running.select(asked, "ends", "n").withColumn("place", F.floor(F.col("quantile") * (F.col("n") - 1)))
-    return at.select("quantile", F.expr("filter(ends, e -> e.upto > place)[0].v").alias("value"))
+    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
+    ranged = with_range(counts, "value", int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    totals = ranged.groupBy("part").agg(F.sum("c").alias("c"))
+    # A row for each range.
+    starts = before_parts(totals, "part", "c").join(F.broadcast(totals.agg(F.sum("c").alias("n"))), how="cross")
+    w = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.withColumn("upto", F.sum("c").over(w)).join(F.broadcast(starts), "part")
+    place = lambda q: F.floor(q * (F.col("n") - 1)) - F.col("before")
+    mine = F.filter(F.array(*(F.lit(float(q)) for q in quantiles)), lambda q: (place(q) < F.col("upto")) & (place(q) >= F.col("upto") - F.col("c")))
+    return ranked.select(F.explode(mine).alias("quantile"), "value")
 
 
 def bytes_handed_in(key: str = "key", value: str = "value") -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DELETE, PUT
+from .ranges import with_range
 
 
 def up_to(log: DataFrame, snapshot: int | None) -> DataFrame:
@@ -84,7 +85,7 @@ def neighbours(state: DataFrame, buckets: int | None = None) -> DataFrame:
     a table with one row for each range. No task sees more than a range and that table.
     """
     n = buckets or int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = state.select("key").repartitionByRange(n, "key").withColumn("part", F.spark_partition_id())
+    ranged = with_range(state.select("key"), "key", n)
     w = Window.partitionBy("part").orderBy("key")
     inside = ranged.select("key", "part", F.lag("key").over(w).alias("previous"), F.lead("key").over(w).alias("next"))
     ends = ranged.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high"))
@@ -113,12 +114,14 @@ def retained(log: DataFrame, oldest_snapshot: int, is_base_level: Column | bool
     """What a compaction keeps. Only the oldest live snapshot S matters.
 
     An entry goes if the next newer one of its key has seq <= S (no snapshot can see it), and a delete goes if its
-    seq <= S and nothing deeper may hold its key (``is_base_level``).
+    seq <= S and nothing deeper may hold its key (``is_base_level``). So all entries after S stay, and of those up to S
+    the newest of each key: an aggregation that sums up in each task, not a window over all versions of a key.
     """
     base = F.lit(is_base_level) if isinstance(is_base_level, bool) else is_base_level
-    newer = F.lag("seq").over(Window.partitionBy("key").orderBy(F.col("seq").desc(), F.col("op").desc()))
-    kept = log.withColumn("__newer", newer).where(~F.coalesce(F.col("__newer") <= oldest_snapshot, F.lit(False)))
-    return kept.where(~((F.col("op") == DELETE) & (F.col("seq") <= oldest_snapshot) & base)).drop("__newer")
+    others = [c for c in log.columns if c not in ("key", "seq", "op")]
+    seen = log.where(F.col("seq") <= oldest_snapshot).groupBy("key").agg(F.max(F.struct("seq", "op", *others)).alias("one")).select("key", "one.*")
+    seen = seen.where(~((F.col("op") == DELETE) & base))
+    return log.where(F.col("seq") > oldest_snapshot).unionByName(seen)
 
 
 def merge_runs(*runs: DataFrame) -> DataFrame:
