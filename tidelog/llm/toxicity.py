@@ -92,7 +92,7 @@ def train(parts: list[tuple[K.Slice, np.ndarray]]) -> linear.Model:
     noise = 3 / np.sqrt(np.minimum(having[0], having[1]) + 1)
     ratio[np.abs(ratio) < noise] = 0
     kept = [x[ratio[x] != 0] for x in examples]
-    learner = linear.Ftrl(1 << BITS, alpha=0.1, beta=1.0, l1=1.2, l2=0.1)
+    learner = linear.Ftrl(1 << BITS, alpha=0.1, beta=1.0, l1=2.0, l2=0.1)
     weight = {True: len(labels) / 2 / ones, False: len(labels) / 2 / zeros}
     order = np.random.default_rng(8)
     for _ in range(EPOCHS):
