@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,23 +106,34 @@ def check_counts(log: DataFrame, declared: DataFrame) -> None:
         raise Corruption(f"batch {bad['batch_id']} declares {bad['entries']} operations and has {bad['have']}")
 
 
-def numbered(ops: DataFrame, first_seq: int, batch_id: int) -> tuple[DataFrame, int]:
-    """(log rows, their number) of a DataFrame of operations (key, op, value) in its own order.
+class Facts(NamedTuple):
+    """What a DataFrame of operations amounts to."""
+
+    rows: int
+    smallest: bytes | None
+    largest: bytes | None
+    handed_in: int
+
+
+def numbered(ops: DataFrame, first_seq: int, batch_id: int) -> tuple[DataFrame, Facts]:
+    """Log rows of a DataFrame of operations (key, op, value) in its own order, and what they amount to.
 
     Rows are counted for each partition and numbered within it, so no task sees more than its partition. ``ops``
     must read the same rows in the same order twice, as stored files do.
     """
     at = ops.withColumn("__at", F.monotonically_increasing_id())
     at = at.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND((1 << 33) - 1))
-    counts = {r["__part"]: r["n"] for r in at.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    size = F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))
+    # A row for each partition.
+    parts = at.groupBy("__part").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("z"), size.alias("bytes")).orderBy("__part").collect()
     total, starts = 0, []
-    for part in sorted(counts):
-        starts.append((part, total))
-        total += counts[part]
+    for r in parts:
+        starts.append((r["__part"], total))
+        total += r["n"]
     if first_seq + max(0, total - 1) > MAX_SEQ:
         raise InvalidArgument("sequence numbers are used up")
-    # One row for each partition.
+    facts = Facts(total, min((bytes(r["a"]) for r in parts), default=None), max((bytes(r["z"]) for r in parts), default=None), sum(r["bytes"] for r in parts))
     offsets = ops.sparkSession.createDataFrame(starts, "__part long, __start long")
     seq = F.col("__start") + F.col("__row") + first_seq
     rows = at.join(F.broadcast(offsets), "__part").select("key", seq.alias("seq"), F.col("op").cast("tinyint").alias("op"), "value", F.lit(batch_id).cast("long").alias("batch_id"))
-    return rows, total
+    return rows, facts

@@ -127,15 +127,14 @@ class Store:
             staged = self.root / "staging" / f"{v.next_file:012d}"
             shutil.rmtree(staged, ignore_errors=True)
             ops.select(F.col("key").cast("binary").alias("key"), F.col("op").cast("tinyint").alias("op"), F.col("value").cast("binary").alias("value")).write.parquet(str(staged))
-            rows, n = numbered(self.spark.read.parquet(str(staged)), v.last_seq + 1, v.number + 1)
+            rows, facts = numbered(self.spark.read.parquet(str(staged)), v.last_seq + 1, v.number + 1)
             extra = {} if source is None else {f"source-{source}": source_batch}
-            if n:
+            if facts.rows:
                 size = sum(p.stat().st_size for p in staged.glob("*.parquet"))
-                bounds = self.spark.read.parquet(str(staged)).agg(F.min("key").alias("a"), F.max("key").alias("z"), F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("b")).head()
-                level = plan.flush_level(v, bytes(bounds["a"]), bytes(bounds["z"]), self.options) if not v.logs() else 0
+                level = plan.flush_level(v, facts.smallest, facts.largest, self.options) if not v.logs() else 0
                 files = runs.write_runs(self.root, rows, v.next_file, level, size, self.options)
-                written = sum(f.bytes for f in files)
-                self._commit([{"add": f.to_json()} for f in files], {"last_seq": v.last_seq + n, "next_file": v.next_file + len(files)} | extra, {"flush": written, "handed_in": bounds["b"], "records": n, "batches": 1}, sync)
+                counts = {"flush": sum(f.bytes for f in files), "handed_in": facts.handed_in, "records": facts.rows, "batches": 1}
+                self._commit([{"add": f.to_json()} for f in files], {"last_seq": v.last_seq + facts.rows, "next_file": v.next_file + len(files)} | extra, counts, sync)
             elif extra:
                 self._commit([], extra, {}, sync)
             shutil.rmtree(staged, ignore_errors=True)
