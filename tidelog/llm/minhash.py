@@ -2,12 +2,12 @@
 
 A document's set is that of its distinct runs of ``width`` words (with fewer words: the whole sequence; without
 words: empty), by 64-bit hashes. Documents with equal sets form a class and one of them stands for it, so copies are
-never compared. Of a class's set, PERMUTATIONS minima are taken, ROWS of them to a band: sets of similarity s share a
-band with probability 1 - (1 - s**ROWS)**(PERMUTATIONS / ROWS), at 0.8 all but one in 2e7.
+never compared. Of a class's set, PERMUTATIONS minima are taken, and ROWS of them make a band: sets of similarity s share
+a band with probability 1 - (1 - s**ROWS)**BANDS, at 0.8 all but one in 2e7.
 
 An odd sketch keeps, for each place of a bitmap, whether an odd number of the minima fell there. The exclusive or of two
 sketches holds just the minima that differ, and its number of ones tells how many those are, most precisely where they
-are few. Candidates with more than FAR ones are far below the threshold (a pair at the threshold has 47 on average, with a deviation of 10) and are dropped; all others are confirmed on full sets.
+are few. Candidates with more than FAR ones are far below the threshold (a pair at the threshold has 93 on average, with a deviation of 14) and are dropped; all others are confirmed on full sets.
 
 Within a bucket every class is compared with the bucket's first class, not with all. What is linked so is joined into
 components; then, in buckets with classes of several components, those outside the largest are compared with the
@@ -28,12 +28,13 @@ from . import runtime
 from . import textkit as K
 from .places import Sidecar, at_rest, files_of, place, scan, scan_beside
 
-PERMUTATIONS = 128
+#: Minima of a set; the bands use the first BANDS * ROWS of them, the sketch all.
+PERMUTATIONS = 256
 ROWS = 4
-BANDS = PERMUTATIONS // ROWS
+BANDS = 32
 #: Words of 64 bits in an odd sketch.
-SKETCH = 8
-FAR = 100
+SKETCH = 16
+FAR = 160
 #: Similarity of a link, in hundredths.
 PERCENT = 80
 WIDTH = 5
@@ -103,8 +104,11 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
             sums = np.concatenate([np.zeros(1, K.U64), np.cumsum(K.mix(sets * K.U64(2) + K.U64(salt)), dtype=K.U64)])
             names.append(signed(sums[at[1:]] - sums[at[:-1]]))
         bands, sketch = np.zeros((len(size), BANDS), K.U64), np.zeros((len(size), SKETCH), K.U64)
-        if full.any():
-            bands[full], sketch[full] = signatures(sets, np.append(at[:-1][full], at[-1]))
+        rows = np.flatnonzero(full)
+        for k in range(0, len(rows), 2048):
+            some = rows[k : k + 2048]
+            low, high = at[some[0]], at[some[-1] + 1]
+            bands[some], sketch[some] = signatures(sets[low:high], np.append(at[some], high) - low)
         listed = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * BANDS, pa.int32()), pa.array(signed(bands).ravel()))
         return {"f": np.full(len(size), f), "r": numbers, "n": size, "name1": names[0], "name2": names[1], "bands": listed} | {f"s{k}": signed(sketch[:, k]) for k in range(SKETCH)}
 
