@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,23 +71,32 @@ class WriteBatch:
         return spark.createDataFrame(rows, LOG_SCHEMA)
 
 
+def heads(writers: Iterable[tuple[int, bool]], most: int = 1 << 20, small: int = 128 << 10) -> Iterator[bool]:
+    """For each queued (bytes, sync) writer, whether it begins a group; see :func:`group`."""
+    size, limit, synced = 0, -1, False
+    for own, sync in writers:
+        head = size + own > limit or (sync and not synced)
+        if head:
+            size, synced = own, sync
+            limit = size + small if size <= small else most
+        else:
+            size += own
+        yield head
+
+
 def group(writers: Iterable[tuple[WriteBatch, bool]], most: int = 1 << 20, small: int = 128 << 10) -> list[tuple[list[WriteBatch], bool]]:
     """Fold queued (batch, sync) writers into groups that are committed together.
 
     A group grows to ``most`` bytes, or, if its first batch has at most ``small``, to that batch's size and ``small``
     more. A writer that asks for sync joins no group whose first does not.
     """
+    writers = list(writers)
     groups: list[tuple[list[WriteBatch], bool]] = []
-    size = limit = 0
-    for batch, sync in writers:
-        fits = groups and size + batch.approximate_size <= limit and (groups[-1][1] or not sync)
-        if fits:
-            groups[-1][0].append(batch)
-            size += batch.approximate_size
-        else:
+    for (batch, sync), head in zip(writers, heads(((b.approximate_size, s) for b, s in writers), most, small), strict=True):
+        if head:
             groups.append(([batch], sync))
-            size = batch.approximate_size
-            limit = size + small if size <= small else most
+        else:
+            groups[-1][0].append(batch)
     return groups
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+from itertools import tee
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from . import queries as base
 from .functions import accounting, filters
 from .model import Options
-from .operators.batch import WriteBatch, group
+from .operators.batch import WriteBatch, heads, validate
 from .operators.repair import repair
 from .store import Store
 from .streaming.ingest import ingest
@@ -149,16 +150,18 @@ def properties(spark, sf_dir):
 
 @query()
 def group_commit(spark, sf_dir):
-    """Queued writers folded into groups."""
-    rows = base.mutations(spark, sf_dir).where("seq <= 2000").orderBy("seq").limit(2000).collect()
-    writers = []
-    for k in range(0, len(rows), 10):
-        batch = WriteBatch()
-        for r in rows[k : k + 10]:
-            batch.put(r["key"], r["value"]) if r["op"] else batch.delete(r["key"])
-        writers.append((batch, k % 70 == 0))
-    groups = group(writers)
-    return spark.createDataFrame([(i, len(bs), sum(map(len, bs)), s) for i, (bs, s) in enumerate(groups)], "number long, batches long, operations long, sync boolean")
+    """Queued writers folded into groups: each batch of the events is a writer, every seventh asks for sync."""
+    size = F.sum(WriteBatch.OVERHEAD + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))) + WriteBatch.HEADER
+    queue = validate(base.mutations(spark, sf_dir)).groupBy("batch_id").agg(F.count("op").alias("operations"), size.alias("bytes"))
+    # One partition of the queue at a time; a row for each group is kept.
+    writers, sizes = tee((r["operations"], r["bytes"], r["batch_id"] % 7 == 0) for r in queue.orderBy("batch_id").toLocalIterator())
+    groups: list[list] = []
+    for (operations, _, sync), head in zip(writers, heads((b, s) for _, b, s in sizes), strict=True):
+        if head:
+            groups.append([len(groups), 0, 0, sync])
+        groups[-1][1] += 1
+        groups[-1][2] += operations
+    return spark.createDataFrame(groups, "number long, batches long, operations long, sync boolean")
 
 
 @query()
