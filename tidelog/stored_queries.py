@@ -7,6 +7,7 @@ import tempfile
 from itertools import tee
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 _STATE = base.ORACLES["latest_state"]
 
+#: Keys of a filter, about.
+FILTER_KEYS = 100_000
+
 
 def query(sql: str | None = None):
     def add(f):
@@ -166,10 +170,23 @@ def group_commit(spark, sf_dir):
 
 @query()
 def bloom_false_positives(spark, sf_dir):
-    """Of keys that lie between present ones, how many a filter of ten bits a key lets through."""
-    keys = sorted(r["key"].encode() for r in base.mutations(spark, sf_dir).select("key").distinct().limit(100_000).collect())
+    """Of keys that lie between present ones, how many filters of ten bits a key let through; each filter has about FILTER_KEYS keys."""
+    from .llm import runtime
+
+    runtime.ship(spark)
     policy = filters.BloomPolicy(10)
-    made = policy.create(keys)
-    missed = sum(not policy.may_match(k, made) for k in keys)
-    passed = sum(policy.may_match(k + b"-", made) for k in keys)
-    return spark.createDataFrame([(len(keys), missed, passed, json.dumps({"bits": 8 * len(made), "probes": policy.probes}))], "keys long, missed long, passed long, filter string")
+    keys = base.mutations(spark, sf_dir).select("key").distinct()
+    n = max(1, -(-keys.count() // FILTER_KEYS))
+
+    def probe(part: pa.Table) -> pa.Table:
+        own = [k.encode() for k in part.column("key").to_pylist()]
+        made = policy.create(own)
+        missed = sum(not policy.may_match(k, made) for k in own)
+        passed = sum(policy.may_match(k + b"-", made) for k in own)
+        return pa.table({"keys": [len(own)], "missed": [missed], "passed": [passed], "bits": [8 * len(made)]})
+
+    dealt = keys.withColumn("filter", F.pmod(F.xxhash64("key"), F.lit(n)))
+    probed = dealt.groupBy("filter").applyInArrow(probe, "keys long, missed long, passed long, bits long")
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("keys", "missed", "passed", "bits")]
+    text = F.format_string(json.dumps({"bits": "%d", "probes": policy.probes}).replace('"%d"', "%d"), "bits")
+    return probed.agg(*total).select("keys", "missed", "passed", text.alias("filter"))
