@@ -91,6 +91,24 @@ def test_token_files_round_trip(spark, docs, empty, rows):
     assert dac.round_trip(empty, GPT).collect() == []
 
 
+def test_token_ids_of_added_tokens_are_those_of_the_library(spark, rows, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tidelog.llm import queries
+
+    own = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "é<|endoftext|>  \n's <|endoftext| >", "<|endoftext|", "|endoftext|>", "a " * 3000 + "<|endoftext|>"]
+    texts = [(i, t) for i, (_, t) in enumerate(keyed(rows) + [(0, t) for t in own])]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer, want, start = Tokenizer.from_file(GPT), [], 0
+    assert tokenizer.encode(own[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    for i, t in texts:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
+        start += len(ids)
+    got = queries.op1_token_ids(spark, str(tmp_path)).orderBy("start").collect()
+    assert [tuple(r)[:4] for r in got] == want
+
+
 def test_any_id_is_read_by_its_position(tmp_path):
     import numpy as np
 

@@ -115,12 +115,39 @@ class Reader:
         return deeper
 
 
-_encoders: dict[str, PieceEncoder] = {}
+class AddedTokenEncoder:
+    """The ids that the library gives by default: rows with the string of an added token go to the library whole."""
 
+    def __init__(self, plain: PieceEncoder, tokenizer):
+        self._plain, self._tokenizer = plain, tokenizer
+        self._strings = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values() if t.content]
 
-def encoder(tokenizer_file: str) -> PieceEncoder:
-    """Byte-level BPE of a ``tokenizers`` file. Strings of special tokens in a text are ordinary text."""
-    if tokenizer_file not in _encoders:
+    def encode(self, s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, number of ids of each row)."""
+        got, n = self._plain.encode(s)
+        raw = s.buf.tobytes()
+        if not any(x in raw for x in self._strings):
+            return got, n
+        ends, at, parts = np.cumsum(n), 0, []
+        for row, (a, b) in enumerate(zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)):
+            text = raw[a:b]
+            if any(x in text for x in self._strings):
+                own = self._tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids
+                parts += [got[at : ends[row] - n[row]], np.array(own, got.dtype)]
+                at, n[row] = ends[row], len(own)
+        return np.concatenate([*parts, got[at:]]), n
+
+
+_encoders: dict[tuple[str, bool], PieceEncoder | AddedTokenEncoder] = {}
+
+
+def encoder(tokenizer_file: str, added_tokens: bool = False) -> PieceEncoder | AddedTokenEncoder:
+    """Byte-level BPE of a ``tokenizers`` file.
+
+    With ``added_tokens`` the strings of the file's added tokens get their own ids, as by default in the library;
+    without it they are ordinary text, as with its ``encode_special_tokens``.
+    """
+    if (tokenizer_file, added_tokens) not in _encoders:
         import tokenizers
 
         tokenizer = tokenizers.Tokenizer.from_file(tokenizer_file)
@@ -128,18 +155,19 @@ def encoder(tokenizer_file: str) -> PieceEncoder:
         if tokenizer.normalizer is not None or "ByteLevel" not in settings or "add_prefix_space=True" in settings or "use_regex=False" in settings:
             raise ValueError("the tokenizer file must be byte-level BPE over the usual pattern, without a normalizer or prefix space")
         model, letters = tokenizer.model, byte_alphabet()
-        _encoders[tokenizer_file] = PieceEncoder(lambda words: [[t.id for t in model.tokenize(w.decode("latin-1").translate(letters))] for w in words])
-    return _encoders[tokenizer_file]
+        plain = PieceEncoder(lambda words: [[t.id for t in model.tokenize(w.decode("latin-1").translate(letters))] for w in words])
+        _encoders[tokenizer_file, added_tokens] = AddedTokenEncoder(plain, tokenizer) if added_tokens else plain
+    return _encoders[tokenizer_file, added_tokens]
 
 
 MANIFEST = "file string, part long, n_ids long, n_docs long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int | None, partitions: int) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int | None, partitions: int, added_tokens: bool = False) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files below ``folder``; returns a row for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_file)
+        enc = encoder(tokenizer_file, added_tokens)
         ids, doc_ids, counts = [], [], []
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -193,10 +221,10 @@ def read_digests(files: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, DIGEST)
 
 
-def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int = 2, added_tokens: bool = False) -> DataFrame:
     """Write ``docs`` as files of ids and return what the files say of each document."""
     spark = docs.sparkSession
     runtime.ship(spark)
     folder = runtime.shared_folder(spark, "token-ids")
-    files = runtime.stored(write(docs, folder, tokenizer_file, end_id, runtime.shuffle_partitions(spark)), "token-files")
+    files = runtime.stored(write(docs, folder, tokenizer_file, end_id, runtime.shuffle_partitions(spark), added_tokens), "token-files")
     return read_digests(files)

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dac.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return dac.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, added_tokens=True)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
