@@ -278,6 +278,23 @@ def test_fingerprints_add_and_subtract(spark):
 # --- 4: licences ----------------------------------------------------------------------------------
 
 
+def test_license_phrases_are_in_the_automaton():
+    import pyarrow as pa
+
+    from tidelog.llm import textkit as K
+
+    scanner, rnd = license.Scanner(), random.Random(9)
+    assert {len(license.TEMPLATES) + t for t in range(len(license.PHRASES))} <= {t for places in scanner._automaton.places for t in places}
+    words = ["mit", "license", "apache", "general", "public", "gnu", "under", "the", "version", "other"]
+    texts = [" ".join(rnd.choice(words[: rnd.randint(2, 10)]) for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + [t for _, t in license.TEMPLATES]
+    got = [r for s in K.slices(pa.array(texts), 2000) for r in scanner.scan(s)]
+    for text, (n, base, first, last, labels, _) in zip(texts, got, strict=True):
+        w = WORD.findall(text.translate(LOW))
+        places = [(k, label) for p, label in license.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        starts = [k for k, _ in places]
+        assert (n, base, first, last, labels) == (len(w), len(places), min(starts, default=None), max(starts, default=None), sorted({x for _, x in places}))
+
+
 def test_license_places(docs, empty, rows):
     phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
     want = []

@@ -6,7 +6,8 @@ extended become matches; for each template the matches that keep their order in
 share of the template's words that the chain covers is its score. Words that no template has end a run, so only
 stretches of known words are streamed; everything else is found by vectorised lookups.
 
-Short phrases (see ``PHRASES``) are found exactly, at every place.
+Short phrases (see ``PHRASES``) are sequences of the same automaton: one stands wherever the longest run that ends
+at a word is in the phrase's state or below it in the tree of suffix links, so each is found exactly, at every place.
 """
 
 from __future__ import annotations
@@ -119,6 +120,31 @@ class Automaton:
         if length >= least:
             yield len(words), length, state
 
+    def run_ends(self, words: list[int]) -> Iterator[tuple[int, int]]:
+        """(length, state) of the longest run that ends at each word."""
+        state = length = 0
+        for w in words:
+            while state > 0 and w not in self.edges[state]:
+                state = self.link[state]
+                length = self.length[state]
+            if w in self.edges[state]:
+                state, length = self.edges[state][w], length + 1
+            else:
+                state = length = 0
+            yield length, state
+
+    def endings(self, sequences: list[list[int]]) -> list[list[tuple[int, int]]]:
+        """For each state, (number, length) of those ``sequences`` that its runs of at least that length end with."""
+        found: list[list[tuple[int, int]]] = [[] for _ in self.link]
+        for t, sequence in enumerate(sequences):
+            state = 0
+            for w in sequence:
+                state = self.edges[state][w]
+            found[state].append((t, len(sequence)))
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            found[state] += found[self.link[state]]
+        return found
+
 
 class Scanner:
     def __init__(self):
@@ -130,11 +156,14 @@ class Scanner:
         hashes = np.array([K.hash_text(w) for w in vocabulary], K.U64)
         order = np.argsort(hashes)
         self._hashes, self._numbers = hashes[order], order
-        self._phrases = [(label, [number[w] for w in t]) for label, t in phrases]
+        sequences = [[number[w] for w in t] for _, t in phrases]
+        self._phrases = [label for label, _ in phrases]
+        self._shortest = min(map(len, sequences))
         self.labels = [label for label, _ in texts]
         self.sizes = [len(t) for _, t in texts]
         self.least = min(LONG_MATCH, *self.sizes)
-        self._automaton = Automaton([[number[w] for w in t] for _, t in texts])
+        self._automaton = Automaton([[number[w] for w in t] for _, t in texts] + sequences)
+        self._endings = self._automaton.endings(sequences)
 
     def scan(self, s: K.Slice) -> list[tuple[int, int, int | None, int | None, list[str], list[Span]]]:
         """Of each row: words, base places, first and last base place, base labels, template spans."""
@@ -146,17 +175,8 @@ class Scanner:
         rows = s.rows_of(a)
         begins = np.searchsorted(rows, np.arange(n + 1))
         counts = np.diff(begins)
-        base: dict[int, list[tuple[int, str]]] = {}
-        for label, phrase in self._phrases:
-            k = len(phrase)
-            if len(word) < k:
-                continue
-            hit = rows[k - 1 :] == rows[: len(rows) - k + 1]
-            for j, w in enumerate(phrase):
-                hit &= word[j : len(word) - k + 1 + j] == w
-            for p in np.flatnonzero(hit):
-                base.setdefault(int(rows[p]), []).append((int(p - begins[rows[p]]), label))
-        found = self._runs(word, rows, begins)
+        stretches = self._stretches(word, rows)
+        base, found = self._base(stretches, begins), self._runs(stretches, begins)
         out = []
         for i in range(n):
             places = base.get(i, [])
@@ -164,19 +184,33 @@ class Scanner:
             out.append((int(counts[i]), len(places), min(starts, default=None), max(starts, default=None), sorted({x for _, x in places}), self._chain(found.get(i, []))))
         return out
 
-    def _runs(self, word: np.ndarray, rows: np.ndarray, begins: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """Matches of each row: (start, length, state), from its stretches of known words."""
+    def _stretches(self, word: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, list[int]]]:
+        """(row, first place, words) of the stretches of known words that may hold a phrase or a match."""
         known = word >= 0
         edge = np.zeros(len(word) + 1, bool)
         edge[1:-1] = (known[1:] != known[:-1]) | (rows[1:] != rows[:-1])
         edge[0] = edge[-1] = True
         cuts = np.flatnonzero(edge)
-        keep = (np.diff(cuts) >= self.least) & known[cuts[:-1]] if len(word) else np.zeros(0, bool)
+        keep = (np.diff(cuts) >= min(self._shortest, self.least)) & known[cuts[:-1]] if len(word) else np.zeros(0, bool)
+        return [(int(rows[a]), a, word[a:b].tolist()) for a, b in zip(cuts[:-1][keep].tolist(), cuts[1:][keep].tolist(), strict=True)]
+
+    def _base(self, stretches: list[tuple[int, int, list[int]]], begins: np.ndarray) -> dict[int, list[tuple[int, str]]]:
+        """Phrases of each row: (start, label)."""
+        base: dict[int, list[tuple[int, str]]] = {}
+        for row, a, words in stretches:
+            for i, (length, state) in enumerate(self._automaton.run_ends(words)):
+                for t, k in self._endings[state]:
+                    if length >= k:
+                        base.setdefault(row, []).append((a + i + 1 - k - int(begins[row]), self._phrases[t]))
+        return base
+
+    def _runs(self, stretches: list[tuple[int, int, list[int]]], begins: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """Matches of each row: (start, length, state)."""
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for a, b in zip(cuts[:-1][keep].tolist(), cuts[1:][keep].tolist(), strict=True):
-            row = int(rows[a])
-            for end, length, state in self._automaton.matches(word[a:b].tolist(), self.least):
-                found.setdefault(row, []).append((a + end - length - int(begins[row]), length, state))
+        for row, a, words in stretches:
+            if len(words) >= self.least:
+                for end, length, state in self._automaton.matches(words, self.least):
+                    found.setdefault(row, []).append((a + end - length - int(begins[row]), length, state))
         return found
 
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[Span]:
@@ -188,7 +222,7 @@ class Scanner:
         by: dict[int, list[tuple[int, int, int]]] = {}
         for start, length, state in matches:
             for t, end in self._automaton.places[state].items():
-                if length >= min(LONG_MATCH, self.sizes[t]):
+                if t < len(self.sizes) and length >= min(LONG_MATCH, self.sizes[t]):
                     by.setdefault(t, []).append((start, length, end - length))
         spans = []
         for t, own in by.items():
