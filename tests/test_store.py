@@ -213,6 +213,28 @@ def test_repair(spark, tmp_path):
     assert report.as_frame(spark).count() == 1
 
 
+def test_repair_notes_every_disagreement_in_order(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    store = make(spark, tmp_path / "s", auto_compaction=False)
+    batch = WriteBatch()
+    for k in range(45):
+        batch.put(f"k{k * 7 % 45:03d}", "one")
+    store.write(batch)
+    store.flush()
+    store.close()
+    for file in list((tmp_path / "s" / "data").rglob("*.parquet")):
+        table = pq.read_table(file)
+        at = table.schema.get_field_index("value")
+        other = table.set_column(at, table.schema.field(at), pa.array([b"two"] * len(table), table.schema.field(at).type))
+        pq.write_table(other, file.with_name(f"zz-{file.name}"), write_page_checksum=True)
+    shutil.rmtree(tmp_path / "s" / "manifest")
+    report = repair(spark, tmp_path / "s")
+    assert report.disagreements == 45 and report.entries_kept == 45 and report.files_lost == 0
+    assert [n.split(" ")[0] for n in report.notes] == [repr(f"k{k:03d}".encode()) for k in range(45)]
+
+
 def test_page_damage_is_an_error(spark, tmp_path):
     store = make(spark, tmp_path / "s", compression="none")
     store.put("key", "x" * 5000)

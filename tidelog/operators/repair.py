@@ -108,7 +108,8 @@ def repair(spark: SparkSession, path: str | Path, options: Options | None = None
         if entries is not None:
             clash = mvcc.disagreements(entries)
             report.disagreements = clash.count()
-            report.notes += [f"{bytes(r['key'])!r} at {r['seq']}: files disagree, the lower-numbered counts" for r in clash.limit(20).collect()]
+            if report.disagreements:
+                report.notes += [f"{bytes(r['key'])!r} at {r['seq']}: files disagree, the lower-numbered counts" for r in clash.orderBy("key", "seq", "op").toLocalIterator()]
             merged = mvcc.repaired(entries).withColumn("batch_id", F.lit(1).cast("long"))
             size = sum((root / k).stat().st_size for k in numbers)
             files = runs.write_runs(root, merged, first, LEVELS - 1, size, options)
