@@ -16,6 +16,7 @@ from .functions import accounting, filters
 from .model import Options
 from .operators.batch import WriteBatch, heads, validate
 from .operators.repair import repair
+from .shipping import ship
 from .store import Store
 from .streaming.ingest import ingest
 
@@ -171,9 +172,7 @@ def group_commit(spark, sf_dir):
 @query()
 def bloom_false_positives(spark, sf_dir):
     """Of keys that lie between present ones, how many filters of ten bits a key let through; each filter has about FILTER_KEYS keys."""
-    from .llm import runtime
-
-    runtime.ship(spark)
+    ship(spark)
     policy = filters.BloomPolicy(10)
     keys = base.mutations(spark, sf_dir).select("key").distinct()
     n = max(1, -(-keys.count() // FILTER_KEYS))
