@@ -7,8 +7,9 @@ bytes since then are the start of some token of the vocabulary: the transducer l
 longest token. Once all places where a token may still begin share a prefix of the encoding, that prefix is emitted.
 
 A state is what remains to be known: the pending bytes and the last tokens at the places that still count.
-States and their transitions are made when first needed and kept, so frequent texts run on one table lookup a
-byte. The memory of the table is bounded: beyond ``limit`` transitions it is made anew.
+A transition is made when it is needed for the second time and then kept, so frequent texts run on one table lookup
+a byte; the first time, the few bytes that are left of a piece are followed place by place, without states. The table is bounded: with ``limit`` transitions it is made anew, also in the middle of a piece, and it is
+given back at the end of each task, so that an idle worker holds the vocabulary alone.
 """
 
 from __future__ import annotations
@@ -33,34 +34,41 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+#: Bytes left of a piece that may be followed without states.
+FOLLOWED = 64
+
+
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], limit: int = 450_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks the bytes {missing[:5]}")
         self.ranks, self._limit = ranks, limit
         self.token = {v: k for k, v in ranks.items()}
         self._begins = {t[:k] for t in ranks for k in range(1, len(t))}
-        self._fits: dict[int, bool] = {}
-        self._reset()
+        self._halves: dict[int, tuple[int, ...] | None] = {}
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Give the states and transitions back; they are made again when needed."""
         self._states: list[tuple] = []
         self._number: dict[tuple, int] = {}
         self._next: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._final: dict[int, tuple[int, ...]] = {}
-        self._start = self._state((b"", (-1,)))
+        self._fits: dict[int, bool] = {}
+        self._start = self._state((b"", (-1,), (0,), (1,)))
 
-    def _state(self, key: tuple) -> int:
-        if key not in self._number:
-            self._number[key] = len(self._states)
-            self._states.append(key)
-        return self._number[key]
+    def _state(self, state: tuple) -> int:
+        """The number of a state, a multiple of 256: (pending bytes, last tokens, live places, their paths)."""
+        number = self._number.get(state[:2])
+        if number is None:
+            number = self._number[state[:2]] = len(self._states) << 8
+            self._states.append(state)
+        return number
 
-    def merge(self, data: bytes) -> list[int]:
-        """BPE by its definition: merge the neighbours with the lowest rank, the first of equals, until none is left."""
+    def _merged(self, data: bytes, least: int) -> list[bytes]:
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = self.ranks.get(parts[i] + parts[i + 1])
@@ -69,41 +77,97 @@ class Transducer:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def merge(self, data: bytes) -> list[int]:
+        """BPE by its definition: merge the neighbours with the lowest rank, the first of equals, until none is left."""
+        return [self.ranks[p] for p in self._merged(data, 1)]
+
+    def _split(self, t: int) -> tuple[int, ...] | None:
+        """The two tokens that merge into ``t``; () for a byte, None for a token that merging its bytes does not reach."""
+        if t not in self._halves:
+            data = self.token[t]
+            parts = [self.ranks[p] for p in self._merged(data, 2)] if len(data) > 1 else []
+            if max(parts, default=-1) > t:
+                raise ValueError(f"the vocabulary ranks token {t} before its parts")
+            self._halves[t] = tuple(parts) if len(parts) < 3 else None
+        return self._halves[t]
 
     def _pair(self, a: int, b: int) -> bool:
         key = a << 32 | b
         fits = self._fits.get(key)
         if fits is None:
-            if len(self._fits) > self._limit:
+            if len(self._fits) >= self._limit >> 1:
                 self._fits.clear()
-            fits = self._fits[key] = self.merge(self.token[a] + self.token[b]) == [a, b]
+            fits = self._fits[key] = self._neighbours(a, b)
         return fits
 
+    def _neighbours(self, a: int, b: int) -> bool:
+        """Whether the bytes of ``a`` and ``b`` encode to just these two.
+
+        Merges are undone from the last one back, those that end at the boundary; if a merge across it would have come
+        first at any time, it is not so. Of equal ranks the left one is merged first.
+        """
+        bound, ranks, token, halves = 1 << 62, self.ranks, self.token, self._halves
+        while True:
+            across = ranks.get(token[a] + token[b])
+            if across is not None and across < bound:
+                return False
+            left, right = halves.get(a) or self._split(a), halves.get(b) or self._split(b)
+            if left and (a > b or not right):
+                bound, a = a, left[1]
+            elif right:
+                bound, b = b + 1, right[0]
+            else:
+                return True
+
+    def _follow(self, state: int, data: bytes) -> list[int]:
+        """The ids from ``state`` to the end of a piece that goes on with ``data``; no state is made."""
+        pending, last, live, _ = self._states[state >> 8]
+        n, data, last = len(pending), pending + data, [*last]
+        ranks, begins, halves = self.ranks, self._begins, self._halves
+        while n < len(data):
+            n += 1
+            for j in live:
+                t = ranks.get(data[j:n])
+                if t is not None and (halves[t] if t in halves else self._split(t)) is not None and (last[j] == -1 or self._pair(last[j], t)):
+                    break
+            else:
+                raise AssertionError("the vocabulary does not encode its own prefixes")
+            last.append(t)
+            live = [i for i in live if data[i:n] in begins]
+            live.append(n)
+        out = []
+        while n > 0:
+            out.append(last[n])
+            n -= len(self.token[last[n]])
+        out.reverse()
+        return out
+
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """``last[j]``: the last token of the encoding that ends after j pending bytes; -1: none yet, None: never asked for."""
-        pending, last = self._states[state]
-        pending += bytes([byte])
+        """``last[j]``: the last token of the encoding that ends after j pending bytes; -1: none yet, None: never asked for.
+
+        A place is live if a token may still begin there; its path has the ends of the tokens up to it, as bits.
+        """
+        pending, last, live, paths = self._states[state >> 8]
+        pending += bytes((byte,))
         n, ranks, begins = len(pending), self.ranks, self._begins
-        for j in range(n):
-            if last[j] is not None:
-                t = ranks.get(pending[j:])
-                if t is not None and (last[j] == -1 or self._pair(last[j], t)):
-                    break
+        for j, path in zip(live, paths, strict=True):
+            t = ranks.get(pending[j:])
+            if t is not None and self._split(t) is not None and (last[j] == -1 or self._pair(last[j], t)):
+                break
         else:
             raise AssertionError("the vocabulary does not encode its own prefixes")
-        # path[i]: the ends of the tokens of the encoding that ends after i bytes, as bits.
-        path, shared, needed = [1], -1, 0
-        for i in range(1, n):
-            path.append(0 if last[i] is None else path[i - len(self.token[last[i]])] | 1 << i)
-        path.append(path[j] | 1 << n)
-        live = [n]
-        for i in range(n):
-            if last[i] is not None and pending[i:] in begins:
-                live.append(i)
-        for i in live:
-            shared &= path[i]
-            needed |= path[i]
+        shared = needed = path = path | 1 << n
+        still, kept_paths = [], []
+        for i, p in zip(live, paths, strict=True):
+            if pending[i:] in begins:
+                still.append(i)
+                kept_paths.append(p)
+                shared &= p
+                needed |= p
+        still.append(n)
+        kept_paths.append(path)
         common = shared.bit_length() - 1
         last = (*last, t)
         emitted = []
@@ -112,11 +176,13 @@ class Transducer:
             emitted.append(last[i])
             i -= len(self.token[last[i]])
         # The token before the base matters only to a token that may begin there.
-        kept = tuple(last[i] if needed >> i & 1 and (i > common or i in live) else None for i in range(common, n + 1))
-        return self._state((pending[common:], kept)), tuple(reversed(emitted))
+        kept = tuple([last[i] if needed >> i & 1 and (i > common or i in still) else None for i in range(common, n + 1)])
+        if common:
+            still, kept_paths = [i - common for i in still], [p >> common for p in kept_paths]
+        return self._state((pending[common:], kept, tuple(still), tuple(kept_paths))), tuple(reversed(emitted))
 
     def _rest(self, state: int) -> tuple[int, ...]:
-        pending, last = self._states[state]
+        pending, last = self._states[state >> 8][:2]
         out, j = [], len(pending)
         while j > 0:
             out.append(last[j])
@@ -127,14 +193,18 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._next) > self._limit:
-            self._reset()
         state, out, known = self._start, [], self._next
-        for byte in piece:
-            key = state << 8 | byte
-            step = known.get(key)
-            if step is None:
-                step = known[key] = self._step(state, byte)
+        for at, byte in enumerate(piece):
+            step = known.get(state | byte)
+            if not step:
+                if len(known) >= self._limit:
+                    here = self._states[state >> 8]
+                    self.forget()
+                    state, known = self._state(here), self._next
+                if step is None and len(piece) - at <= FOLLOWED:
+                    known[state | byte] = ()
+                    return out + self._follow(state, piece[at:])
+                step = known[state | byte] = self._step(state, byte)
             state, emitted = step
             if emitted:
                 out += emitted
@@ -186,6 +256,11 @@ class Codec:
         self.token_bytes = Rendered([self.transducer.token.get(i, b"") for i in range(size)])
         self.decimals = Rendered([b"%d," % i for i in range(size)])
 
+    def forget(self) -> None:
+        """Give back what was kept for later texts."""
+        self.encoder.forget()
+        self.transducer.forget()
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -222,14 +297,17 @@ def _encoded(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            for s in K.slices(batch.column(1)):
-                ids, counts = c.encoder.encode(s)
-                shown, decoded = _digests(c, ids, counts)
-                columns = {"doc_id": batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(shown), "decoded_sha256": pa.array(decoded)}
-                if with_ids:
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_pydict(columns)
+        try:
+            for batch in batches:
+                for s in K.slices(batch.column(1)):
+                    ids, counts = c.encoder.encode(s)
+                    shown, decoded = _digests(c, ids, counts)
+                    columns = {"doc_id": batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(shown), "decoded_sha256": pa.array(decoded)}
+                    if with_ids:
+                        columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_pydict(columns)
+        finally:
+            c.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGEST + ", ids array<int>" * with_ids)
 
@@ -237,7 +315,9 @@ def _encoded(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): how many ids its text has, and digests of the ids and of what they decode to.
 
-    A null text is empty and has no ids. Rows that repeat are each answered. No shuffle.
+    A null text is empty and has no ids; an empty table gives an empty one; a row without a doc_id is answered under a
+    null one. Rows that repeat are each answered. A very long text is one slice by itself: memory grows with the longest
+    text, not with the number of texts. No shuffle.
     """
     return _encoded(docs, path, False)
 

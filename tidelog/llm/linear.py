@@ -16,6 +16,10 @@ from . import textkit as K
 SAMPLE = 4000
 
 
+#: Bytes of text whose features are held at once, unless a text is longer.
+PART_BYTES = 256 << 10
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; fold 1 is held out."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
@@ -45,20 +49,23 @@ class Ftrl:
     """Follow-the-regularised-leader with per-coordinate rates (FTRL-proximal) for logistic loss."""
 
     def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float):
-        self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
+        self.z, self.root = np.zeros(size + 1), np.zeros(size + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
-        return np.where(np.abs(z) > self.l1, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2), 0.0)
+        """From the sums ``z`` and the roots of the sums of squared gradients."""
+        z = self.z[at]
+        return np.copysign(np.maximum(np.abs(z) - self.l1, 0.0), -z) / ((self.beta + self.root[at]) / self.alpha + self.l2)
 
     def learn(self, at: np.ndarray, x: np.ndarray, label: int, weight: float = 1.0) -> None:
         """One example; ``at`` are distinct coordinates. The last coordinate of the model is the bias."""
         at, x = np.append(at, len(self.z) - 1), np.append(x, 1.0)
         w = self.weights(at)
         g = weight * (sigmoid(float(w @ x)) - label) * x
-        self.z[at] += g - (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha * w
-        self.n[at] += g * g
+        root = self.root[at]
+        higher = np.sqrt(root * root + g * g)
+        self.z[at] += g - (higher - root) / self.alpha * w
+        self.root[at] = higher
 
     def model(self) -> Model:
         w = self.weights()
@@ -76,7 +83,7 @@ def fit(rows: DataFrame, train: Callable[[list[tuple[K.Slice, np.ndarray]]], Mod
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(s, b.column("label").to_numpy()[s.lo : s.hi]) for b in batches for s in K.slices(b.column("text"))]
+        parts = [(s, b.column("label").to_numpy()[s.lo : s.hi]) for b in batches for s in K.slices(b.column("text"), PART_BYTES)]
         if parts:
             m = train(parts)
             at = np.flatnonzero(m.weights)

@@ -5,27 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PACKAGE = Path(__file__).resolve().parents[1]
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, so that a worker can import it wherever it runs."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    target = Path(tempfile.mkdtemp(prefix="tidelog-ship-")) / f"{_PACKAGE.name}_src.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, f"{_PACKAGE.name}/{p.relative_to(_PACKAGE)}")
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
+from ..shipping import ship as ship
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``.

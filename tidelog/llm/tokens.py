@@ -42,16 +42,18 @@ class PieceEncoder:
     """Encodes slices of text by an encoder of single pieces.
 
     ``encode_pieces`` gets a list of distinct byte strings and returns their ids. Known pieces are kept
-    for later batches; when more than ``keep`` are known they are forgotten together, which costs time only.
+    for later batches; when they are more than ``keep``, or have more than ``keep_bytes``, they are forgotten
+    together, which costs time only.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[bytes]], list[list[int]]], keep: int = 300_000):
-        self._encode, self._keep = encode_pieces, keep
-        self._forget()
+    def __init__(self, encode_pieces: Callable[[list[bytes]], list[list[int]]], keep: int = 300_000, keep_bytes: int = 16 << 20):
+        self._encode, self._keep, self._keep_bytes = encode_pieces, keep, keep_bytes
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self._known: dict[bytes, int] = {}
         self._rows = Ragged()
+        self._bytes = 0
 
     def encode(self, s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, number of ids of each row)."""
@@ -62,11 +64,12 @@ class PieceEncoder:
         column = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(s.buf))])
         coded = column.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self._known) + len(words) > self._keep:
-            self._forget()
+        if len(self._known) + len(words) > self._keep or self._bytes > self._keep_bytes:
+            self.forget()
         known = self._known
         new = [w for w in words if w not in known]
         if new:
+            self._bytes += sum(map(len, new))
             self._rows.extend(self._encode(new))
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
         which = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
