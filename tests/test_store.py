@@ -3,8 +3,11 @@
 import random
 import shutil
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from tidelog.__main__ import main as command
 from tidelog.functions import accounting, filters
 from tidelog.model import Corruption, InvalidArgument, IoError, Options
 from tidelog.operators.batch import WriteBatch
@@ -295,6 +298,118 @@ def test_stream_replays_change_nothing(spark, tmp_path):
     assert store.last_sequence == last and contents(store) == want
 
 
+def frame(spark, rows, parts=1):
+    """A DataFrame of (key, value) rows; ``parts`` may list the rows of each partition."""
+    schema = "key string, value string"
+    if parts == 1:
+        return spark.createDataFrame(rows, schema).coalesce(1)
+    out, at = None, 0
+    for n in parts:
+        piece = spark.createDataFrame(rows[at : at + n], schema).coalesce(1)
+        out, at = piece if out is None else out.union(piece), at + n
+    return out
+
+
+def test_deletes_hold_against_older_logs(spark, tmp_path):
+    store = make(spark, tmp_path / "s", auto_compaction=False)
+    store.put("k", "v1")
+    store.write_frame(frame(spark, [("a", "1"), ("k", None), ("z", "1")]))
+    for i in range(4):
+        store.write_frame(frame(spark, [("a", str(i)), ("z", str(i))]))
+    assert store.compact_once() and store.get("k") is None
+    while store.compact_once():
+        pass
+    store.compact_range()
+    assert contents(store) == {b"a": b"3", b"z": b"3"}
+    assert contents(store.reopened()) == {b"a": b"3", b"z": b"3"}
+
+
+def test_base_level_asks_logs_and_the_range():
+    log = DataFile(7, 0, "f7", 1, 1, b"k", b"k", 1, 1, "log")
+    deep = [_file(1, 3, b"a", b"c"), _file(2, 3, b"d", b"f"), _file(3, 4, b"c", b"d")]
+    assert compaction.is_base_level(Version(1, {f.file_no: f for f in deep}), 0, b"g", b"z") is True
+    assert compaction.is_base_level(Version(1, {f.file_no: f for f in [*deep, log]}), 0, b"g", b"z") is not True
+    assert compaction.is_base_level(Version(1, {f.file_no: f for f in deep}), 3, b"a", b"z") is True
+
+
+def test_frames_keep_their_order(spark, tmp_path):
+    store = make(spark, tmp_path / "s", auto_compaction=False)
+    big = [(f"key{i:06d}", "x" * 40) for i in range(60000)]
+    rows = [("k", "old"), *big[:3], *big, ("k", "newer"), ("k", "new")]
+    store.write_frame(frame(spark, rows, parts=[1, 3, len(big), 1, 1]))
+    assert store.get("k") == b"new" and store.last_sequence == len(rows)
+    seqs = [r["seq"] for r in store.log().where("key = CAST('k' AS BINARY)").orderBy("seq").collect()]
+    assert seqs == [1, len(rows) - 1, len(rows)]
+    assert store.bytes_written()["log"] > 0
+
+
+def test_random_mix_of_writes_and_compactions(spark, tmp_path):
+    rnd, model = random.Random(5), {}
+    store = make(spark, tmp_path / "s", auto_compaction=False, write_buffer_size=1)
+    for step in range(24):
+        what = rnd.random()
+        rows = [(f"k{rnd.randrange(12)}", None if rnd.random() < 0.4 else f"v{step}-{i}") for i in range(rnd.randint(1, 4))]
+        if what < 0.45:
+            for k, v in rows:
+                store.put(k, v) if v is not None else store.delete(k)
+        elif what < 0.85:
+            store.write_frame(frame(spark, rows))
+        else:
+            store.compact_once()
+            rows = []
+        applied(model, [(k.encode(), v and v.encode()) for k, v in rows])
+        if step % 4 == 3:
+            assert contents(store) == model, step
+    store.compact_range()
+    assert contents(store) == model
+
+
+def test_queued_writers_commit_in_groups(spark, tmp_path):
+    store = make(spark, tmp_path / "s")
+    writers = [(WriteBatch().put(f"k{i}", "v").delete("gone"), i == 3) for i in range(5)]
+    assert store.write_queue(writers) == [2, 4, 6, 8, 10]
+    assert store.property("tidelog.log-writes") == "records 10\nbatches 2" and len(contents(store)) == 5
+
+
+def test_malformed_rows_are_refused_when_read(spark, tmp_path):
+    store = make(spark, tmp_path / "s")
+    store.put("a", "1")
+    path = next((tmp_path / "s" / "data").glob("*.parquet"))
+    table = pq.read_table(path)
+    pq.write_table(table.set_column(table.schema.get_field_index("op"), "op", pa.array([7], pa.int8())), path, write_page_checksum=True)
+    path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="malformed log row at seq 1"):
+        store.state().collect()
+    store.close()
+
+
+def test_repair_command(spark, tmp_path, capsys):
+    store = make(spark, tmp_path / "s")
+    store.put("a", "1")
+    store.close()
+    assert command(["repair"]) == 2 and command(["mend", "x"]) == 2
+    assert command(["repair", str(tmp_path / "s")]) == 3
+    assert command(["repair", str(tmp_path / "s"), "--force"]) == 0
+    assert command(["repair", str(tmp_path / "none")]) == 1
+    assert contents(Store.open(spark, tmp_path / "s")) == {b"a": b"1"}
+
+
+def test_repair_sets_aside_gapped_and_unordered_files(spark, tmp_path):
+    store = make(spark, tmp_path / "s")
+    for k in "abc":
+        store.write(WriteBatch().put(k, "1").put(k + "x", "2"))
+    store.close()
+    first, second, _ = sorted((tmp_path / "s" / "data").glob("*.parquet"))
+    table = pq.read_table(first)
+    pq.write_table(table.set_column(table.schema.get_field_index("seq"), "seq", pa.array([1, 9], pa.int64())), first)
+    pq.write_table(pq.read_table(second).take([1, 0]), second)
+    for p in (first, second):
+        p.with_name(f".{p.name}.crc").unlink(missing_ok=True)
+    report = repair(spark, tmp_path / "s")
+    assert (report.files_found, report.files_used, report.files_lost, report.entries_kept) == (3, 1, 2, 2)
+    assert any("sequence numbers" in n for n in report.notes) and any("out of order" in n for n in report.notes)
+
+
 def test_failed_write_makes_the_store_read_only(spark, tmp_path, monkeypatch):
     store = make(spark, tmp_path / "s")
     store.put("a", "1")

@@ -124,14 +124,18 @@ class Facts(NamedTuple):
     handed_in: int
 
 
+def placed(ops: DataFrame) -> DataFrame:
+    """``ops`` with ``__at``: the partition and the number of each row within it, to be stored with the rows."""
+    return ops.withColumn("__at", F.monotonically_increasing_id())
+
+
 def numbered(ops: DataFrame, first_seq: int, batch_id: int) -> tuple[DataFrame, Facts]:
-    """Log rows of a DataFrame of operations (key, op, value) in its own order, and what they amount to.
+    """Log rows of operations (key, op, value, ``__at``) in the order of :func:`placed`, and what they amount to.
 
-    Rows are counted for each partition and numbered within it, so no task sees more than its partition. ``ops``
-    must read the same rows in the same order twice, as stored files do.
+    Rows are counted for each partition they had and numbered within it, so no task sees more than its partition. The
+    place must be stored: a table that is read again deals its files out by size, not in the order they were written.
     """
-    at = ops.withColumn("__at", F.monotonically_increasing_id())
-    at = at.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND((1 << 33) - 1))
+    at = ops.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND((1 << 33) - 1))
     size = F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))
     # A row for each partition.
     parts = at.groupBy("__part").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("z"), size.alias("bytes")).orderBy("__part").collect()

@@ -1,6 +1,6 @@
 """Repair: make a store of the files that survive, without its manifest.
 
-Every data file is read and checked; what can't be read, or is out of order, is set aside in ``lost/``. Of what is
+Every data file is read and checked, each by one task; what can't be read, or is out of order, is set aside in ``lost/``. Of what is
 left each key is kept once, at its newest version; deleted keys are left out. The result is one level of runs that is
 opened again to prove it. A key whose delete was compacted away before an older version of it was set free can come
 back: nothing that survives says that it was deleted.
@@ -10,15 +10,18 @@ from __future__ import annotations
 
 import shutil
 import time
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import LEVELS, LOG_SCHEMA, MAX_SEQ, Corruption, IoError, Options, StoreError
+from ..model import DELETE, LEVELS, LOG_SCHEMA, MAX_SEQ, PUT, Corruption, IoError, Options, StoreError
+from ..shipping import ship
 from ..sources import runs
 from ..sources.manifest import DataFile, Manifest, Version
 from . import mvcc
@@ -40,29 +43,47 @@ class Report:
         return spark.createDataFrame([tuple(asdict(self).values())], T.StructType(kinds))
 
 
-def in_order(entries: DataFrame) -> DataFrame:
-    """(file_no, ordered, entries, smallest, largest, max_seq) of each file: ordered if no row comes before its predecessor.
+CHECKED = "name string, wrong string, entries long, smallest binary, largest binary, max_seq long"
 
-    ``entries`` has ``file_no`` and ``place``, the row's number in its file.
-    """
-    w = Window.partitionBy("file_no").orderBy("place")
-    before = entries.select("*", F.lag(F.struct("key", (-F.col("seq")).alias("s"), (-F.col("op")).alias("o"))).over(w).alias("before"))
-    good = F.coalesce(F.col("before") < F.struct("key", (-F.col("seq")).alias("s"), (-F.col("op")).alias("o")), F.lit(True))
-    return before.groupBy("file_no").agg(F.min(good).alias("ordered"), F.count("*").alias("entries"), F.min("key").alias("smallest"), F.max("key").alias("largest"), F.max("seq").alias("max_seq"))
 
-
-def _readable(path: Path) -> str | None:
-    """None if the whole file reads with its checksums and has the log's columns; else what is wrong."""
+def _check(path: Path, name: str) -> tuple:
+    """A row of CHECKED for one file, read a row group at a time with its checksums; ``wrong`` is null if it is whole."""
+    entries, last, smallest, low, high = 0, None, None, None, None
     try:
         f = pq.ParquetFile(path, page_checksum_verification=True)
-        names = set(f.schema_arrow.names)
-        if not {"key", "seq", "op", "value", "batch_id"} <= names:
-            return "its columns are not those of a log"
+        if not {"key", "seq", "op", "value", "batch_id"} <= set(f.schema_arrow.names):
+            return (name, "its columns are not those of a log", 0, None, None, None)
         for k in range(f.num_row_groups):
-            f.read_row_group(k)
+            columns = [f.read_row_group(k).column(c).to_pylist() for c in ("key", "seq", "op", "value")]
+            for key, seq, op, value in zip(*columns, strict=True):
+                at = (key, -seq, -op)
+                if last is not None and not last < at:
+                    return (name, "its entries are out of order", 0, None, None, None)
+                if op not in (DELETE, PUT) or (value is None) != (op == DELETE) or not 0 <= seq <= MAX_SEQ:
+                    return (name, f"its entry at seq {seq} is malformed", 0, None, None, None)
+                smallest = key if last is None else smallest
+                low, high = min(seq, seq if low is None else low), max(seq, seq if high is None else high)
+                last = at
+                entries += 1
     except Exception as e:  # any way in which a damaged file can fail
-        return f"{type(e).__name__}: {e}"
-    return None
+        return (name, f"{type(e).__name__}: {e}", 0, None, None, None)
+    if name.endswith("-log.parquet") and entries and high - low + 1 != entries:
+        return (name, "its batch has not all its sequence numbers", 0, None, None, None)
+    return (name, None, entries, smallest, last[0] if last else None, high)
+
+
+def checked(spark: SparkSession, root: Path, names: list[str]) -> DataFrame:
+    """A row of CHECKED for each file; files are dealt over the cluster, which sees the store's folder."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("name", pa.string()), ("wrong", pa.string()), ("entries", pa.int64()), ("smallest", pa.binary()), ("largest", pa.binary()), ("max_seq", pa.int64())])
+        for batch in batches:
+            rows = [_check(root / name, name) for name in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.createDataFrame([(n,) for n in names], "name string").repartition(min(parts, max(1, len(names))), "name").mapInArrow(run, CHECKED)
 
 
 def repair(spark: SparkSession, path: str | Path, options: Options | None = None) -> Report:
@@ -78,30 +99,23 @@ def repair(spark: SparkSession, path: str | Path, options: Options | None = None
         report.files_found = len(found)
         lost: list[Path] = []
         numbers: dict[str, int] = {}
-        for p in found:
-            wrong = _readable(p)
-            if wrong:
-                lost.append(p)
-                report.notes.append(f"{p.relative_to(root)}: {wrong}")
-            else:
-                numbers[str(p.relative_to(root))] = len(numbers) + 1
         entries = None
+        names = [str(p.relative_to(root)) for p in found]
+        # A row for each file.
+        for r in checked(spark, root, names).orderBy("name").collect() if names else []:
+            if r["wrong"]:
+                lost.append(root / r["name"])
+                report.notes.append(f"{r['name']}: {r['wrong']}")
+            else:
+                numbers[r["name"]] = len(numbers) + 1
+                report.entries_read += r["entries"]
+                report.last_sequence = max(report.last_sequence, r["max_seq"] or 0)
         if numbers:
             listed = spark.createDataFrame([(k.rpartition("/")[2], v) for k, v in numbers.items()], "name string, file_no long")
             raw = spark.read.schema(LOG_SCHEMA).parquet(*[str(root / k) for k in numbers])
-            raw = raw.select("*", F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("place"))
+            raw = raw.select("*", F.col("_metadata.file_name").alias("name"))
             # A row for each file.
             entries = raw.join(F.broadcast(listed), "name").drop("name")
-            facts = {r["file_no"]: r for r in in_order(entries).collect()}
-            for name, number in list(numbers.items()):
-                if number in facts and (not facts[number]["ordered"] or facts[number]["max_seq"] > MAX_SEQ):
-                    lost.append(root / name)
-                    report.notes.append(f"{name}: its entries are out of order")
-                    del numbers[name]
-            good = [n for n in numbers.values() if n in facts]
-            report.entries_read = sum(facts[n]["entries"] for n in good)
-            report.last_sequence = max((facts[n]["max_seq"] for n in good), default=0)
-            entries = entries.where(F.col("file_no").isin(good)) if good else None
         report.files_used, report.files_lost = len(numbers), len(lost)
         files: list[DataFile] = []
         first = int(time.time())  # above every number that was used

@@ -14,11 +14,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .model import DELETE, LEVELS, MAX_SEQ, PUT, STATE_SCHEMA, Corruption, InvalidArgument, IoError, Options
+from .model import DELETE, LEVELS, MAX_SEQ, PUT, Corruption, InvalidArgument, IoError, Options
 from .operators import mvcc
-from .operators.batch import WriteBatch, numbered
+from .operators.batch import WriteBatch, group, numbered, placed, validate
 from .plans import compaction as plan
 from .sources import runs
 from .sources.manifest import DataFile, Manifest, Version, level_rows
@@ -110,6 +109,17 @@ class Store:
             self._commit([{"add": file.to_json()}], {"last_seq": v.last_seq + len(rows), "next_file": v.next_file + 1}, {"log": file.bytes, "handed_in": handed, "records": len(rows), "batches": 1}, sync)
         return self.last_sequence
 
+    def write_queue(self, writers: Iterable[tuple[WriteBatch, bool]]) -> list[int]:
+        """Commit queued (batch, sync) writers in groups, each group one commit; the last sequence number of each writer."""
+        out = []
+        for batches, sync in group(writers):
+            at = self.last_sequence
+            self.write_group(batches, sync)
+            for b in batches:
+                at += len(b)
+                out.append(at)
+        return out
+
     def write_frame(self, ops: DataFrame, sync: bool = True, source: str | None = None, source_batch: int | None = None) -> int:
         """Commit a DataFrame of operations (key, value and perhaps op; a null value without op deletes) as one batch.
 
@@ -126,14 +136,15 @@ class Store:
         with self._sticky():
             staged = self.root / "staging" / f"{v.next_file:012d}"
             shutil.rmtree(staged, ignore_errors=True)
-            ops.select(F.col("key").cast("binary").alias("key"), F.col("op").cast("tinyint").alias("op"), F.col("value").cast("binary").alias("value")).write.parquet(str(staged))
+            ops.select(F.col("key").cast("binary").alias("key"), F.col("op").cast("tinyint").alias("op"), F.col("value").cast("binary").alias("value")).transform(placed).write.parquet(str(staged))
             rows, facts = numbered(self.spark.read.parquet(str(staged)), v.last_seq + 1, v.number + 1)
             extra = {} if source is None else {f"source-{source}": source_batch}
             if facts.rows:
                 size = sum(p.stat().st_size for p in staged.glob("*.parquet"))
                 level = plan.flush_level(v, facts.smallest, facts.largest, self.options) if not v.logs() else 0
                 files = runs.write_runs(self.root, rows, v.next_file, level, size, self.options)
-                counts = {"flush": sum(f.bytes for f in files), "handed_in": facts.handed_in, "records": facts.rows, "batches": 1}
+                # The staged copy is what a log would be.
+                counts = {"log": size, "flush": sum(f.bytes for f in files), "handed_in": facts.handed_in, "records": facts.rows, "batches": 1}
                 self._commit([{"add": f.to_json()} for f in files], {"last_seq": v.last_seq + facts.rows, "next_file": v.next_file + len(files)} | extra, counts, sync)
             elif extra:
                 self._commit([], extra, {}, sync)
@@ -161,7 +172,7 @@ class Store:
         with self._sticky():
             smallest, largest = min(f.smallest for f in logs), max(f.largest for f in logs)
             level = plan.flush_level(v, smallest, largest, self.options)
-            rows = runs.read_files(self.spark, self.root, logs)
+            rows = validate(runs.read_files(self.spark, self.root, logs))
             files = runs.write_runs(self.root, rows, v.next_file, level, sum(f.bytes for f in logs), self.options)
             actions = [{"remove": f.file_no} for f in logs] + [{"add": f.to_json()} for f in files]
             self._commit(actions, {"next_file": v.next_file + len(files)}, {"flush": sum(f.bytes for f in files)}, True)
@@ -221,7 +232,7 @@ class Store:
         files = runs.pruned(self._version, at, begin, end, inclusive_end)
         self._read["files"] += len(files)
         self._read["bytes"] += sum(f.bytes for f in files)
-        return mvcc.up_to(runs.read_files(self.spark, self.root, files), at)
+        return mvcc.up_to(validate(runs.read_files(self.spark, self.root, files)), at)
 
     def state(self, snapshot: Snapshot | None = None, begin: bytes | str | None = None, end: bytes | str | None = None) -> DataFrame:
         """(key, value) visible in [begin, end), in no order."""
@@ -267,7 +278,11 @@ class Store:
     # --- compaction ------------------------------------------------------------------------------
 
     def compact_once(self) -> bool:
-        """Do the compaction that is due most; False if none is."""
+        """Do the compaction that is due most; False if none is.
+
+        The logs are flushed first, so that no older version of a key waits in them when its delete is dropped.
+        """
+        self.flush()
         job = plan.pick(self._version, self.options)
         if job is None:
             return False
@@ -299,7 +314,7 @@ class Store:
                 self._commit([{"remove": f.file_no}, {"add": moved.to_json()}], pointer, {}, True)
                 return
             inputs = job.inputs + job.below
-            rows = mvcc.retained(runs.read_files(self.spark, self.root, inputs), self._oldest(), plan.is_base_level(v, job.level))
+            rows = mvcc.retained(validate(runs.read_files(self.spark, self.root, inputs)), self._oldest(), plan.is_base_level(v, job.level, *job.range))
             files = runs.write_runs(self.root, rows, v.next_file, job.level + 1, sum(f.bytes for f in inputs), self.options)
             actions = [{"remove": f.file_no} for f in inputs] + [{"add": f.to_json()} for f in files]
             read, wrote = sum(f.bytes for f in inputs), sum(f.bytes for f in files)
@@ -383,10 +398,6 @@ def _locked(root: Path):
     return lock
 
 
-def empty_state(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], T.StructType(STATE_SCHEMA.fields))
-
-
 def destroy(path: str | Path) -> None:
     """Delete a store's own files; files it does not know stay, and so does the folder if there are any."""
     root = Path(path)

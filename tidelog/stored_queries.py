@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from itertools import tee
 from pathlib import Path
 
@@ -16,7 +15,7 @@ from .functions import accounting, filters
 from .model import Options
 from .operators.batch import WriteBatch, heads, validate
 from .operators.repair import repair
-from .shipping import ship
+from .shipping import shared_path, ship
 from .store import Store
 from .streaming.ingest import ingest
 
@@ -38,8 +37,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _folder(name: str) -> Path:
-    return Path(tempfile.mkdtemp(prefix=f"tidelog-{name}-")) / "store"
+def _folder(spark: SparkSession, name: str) -> Path:
+    return shared_path(spark, name) / "store"
 
 
 def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +51,7 @@ def _text(state: DataFrame) -> DataFrame:
 
 def _loaded(spark: SparkSession, sf_dir: str, name: str, parts: int = 5, **options) -> Store:
     """A store that the events were written to in some commits."""
-    store = Store.open(spark, _folder(name), Options(create_if_missing=True, **options))
+    store = Store.open(spark, _folder(spark, name), Options(create_if_missing=True, **options))
     log = base.mutations(spark, sf_dir)
     last = log.agg(F.max("seq")).head()[0] or 0
     step = max(1, -(-last // parts))
@@ -75,6 +74,37 @@ def store_compacted(spark, sf_dir):
     return _text(store.state())
 
 
+@query(_STATE)
+def store_frame_order(spark, sf_dir):
+    """One commit of a DataFrame whose partitions differ much in size: of a key's rows the last one counts."""
+    store = Store.open(spark, _folder(spark, "order"), Options(create_if_missing=True, auto_compaction=False))
+    log = base.mutations(spark, sf_dir)
+    last = log.agg(F.max("seq")).head()[0] or 0
+    cuts = [0, last // 100, last // 20, last - last // 20, last - last // 100, last]
+    pieces = [log.where((F.col("seq") > a) & (F.col("seq") <= z)).orderBy("seq").select("key", "op", "value") for a, z in zip(cuts, cuts[1:], strict=False)]
+    ops = pieces[0]
+    for p in pieces[1:]:
+        ops = ops.union(p)
+    store.write_frame(ops)
+    return _text(store.state())
+
+
+@query(_STATE)
+def store_deletes(spark, sf_dir):
+    """Old values that wait in logs while compactions drop the deletes that came after them."""
+    store = Store.open(spark, _folder(spark, "deletes"), Options(create_if_missing=True, auto_compaction=False))
+    log = base.mutations(spark, sf_dir)
+    for r in log.where("op = 0").select("key").distinct().orderBy("key").limit(20).collect():
+        store.put(r["key"], "old")
+    last = log.agg(F.max("seq")).head()[0] or 0
+    step = max(1, -(-last // 5))
+    for k in range(0, last, step):
+        store.write_frame(log.where((F.col("seq") > k) & (F.col("seq") <= k + step)).orderBy("seq").select("key", "op", "value"))
+    while store.compact_once():
+        pass
+    return _text(store.state())
+
+
 @query(base.ORACLES["multi_get_status"])
 def store_multi_get(spark, sf_dir):
     """Batched lookups against a store with Bloom filters on its keys."""
@@ -87,7 +117,7 @@ def store_multi_get(spark, sf_dir):
 @query(base.ORACLES["as_of_snapshot"])
 def store_snapshot(spark, sf_dir):
     """A snapshot taken between two commits, read after later commits and a compaction."""
-    store = Store.open(spark, _folder("snapshot"), Options(create_if_missing=True, auto_compaction=False))
+    store = Store.open(spark, _folder(spark, "snapshot"), Options(create_if_missing=True, auto_compaction=False))
     log = base.mutations(spark, sf_dir)
     store.write_frame(log.where(F.col("seq") <= base.EARLY).orderBy("seq").select("key", "op", "value"))
     snapshot = store.snapshot()
@@ -110,7 +140,7 @@ def store_repaired(spark, sf_dir):
 @query(_STATE)
 def stream_ingest(spark, sf_dir):
     """The events as a stream of files, each micro-batch a commit."""
-    root = _folder("stream")
+    root = _folder(spark, "stream")
     source = root.parent / "changes"
     log = base.mutations(spark, sf_dir)
     for k in range(3):
