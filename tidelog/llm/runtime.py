@@ -3,30 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import shared_folder as shared_folder
 from ..shipping import ship as ship
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``.
-
-    Where that setting is missing (a single machine, as in tests) a temporary folder is used
-    and also given to Spark for its checkpoints.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            base = current.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="tidelog-shared-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: later steps start from those files."""
     spark = df.sparkSession
