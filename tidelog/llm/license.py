@@ -2,8 +2,8 @@
 
 The templates' word sequences form one automaton. A document's words are streamed through it; after each word
 the automaton knows the longest run of words ending there that stands in some template. Runs that can't be
-extended become matches; for each template the matches that keep their order in both texts are chained, and the
-share of the template's words that the chain covers is its score. Words that no template has end a run, so only
+extended become matches; for each template the heaviest chain of matches that keep their order in both texts is found
+by dynamic programming over all places of a match, and the share of the template's words that it covers is its score. Words that no template has end a run, so only
 stretches of known words are streamed; everything else is found by vectorised lookups.
 
 Short phrases (see ``PHRASES``) are sequences of the same automaton: one stands wherever the longest run that ends
@@ -44,6 +44,8 @@ TEMPLATES = [
 
 #: Words that a match must have to count towards a span; shorter templates must match whole.
 LONG_MATCH = 6
+#: Neighbours of a chain start at most so many times the template's words apart.
+APART = 4
 #: Share of a template's words that must be covered for its label.
 COVERED = 0.6
 
@@ -56,21 +58,23 @@ class Span(NamedTuple):
 
 
 class Automaton:
-    """Suffix automaton of several sequences of word numbers; a state knows where each sequence first ends in it."""
+    """Suffix automaton of several sequences of word numbers; a state knows all places where its runs end in each sequence."""
 
     def __init__(self, sequences: list[list[int]]):
         self.edges: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.places: list[dict[int, int]] = [{}]
+        self.places: list[dict[int, list[int]]] = [{}]
         for t, sequence in enumerate(sequences):
-            last, visited = 0, []
-            for i, w in enumerate(sequence):
+            last = 0
+            for w in sequence:
                 last = self._extend(last, w)
-                visited.append((last, i + 1))
-            for state, end in visited:
-                while state > 0 and t not in self.places[state]:
-                    self.places[state][t] = end
-                    state = self.link[state]
+        for t, sequence in enumerate(sequences):
+            state = 0
+            for i, w in enumerate(sequence):
+                state = at = self.edges[state][w]
+                while at > 0:
+                    self.places[at].setdefault(t, []).append(i + 1)
+                    at = self.link[at]
 
     def _new(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.edges.append(edges)
@@ -85,7 +89,6 @@ class Automaton:
         if self.length[q] == self.length[p] + 1:
             return q
         twin = self._new(self.length[p] + 1, self.link[q], dict(self.edges[q]))
-        self.places[twin] = dict(self.places[q])
         self.link[q] = twin
         while p >= 0 and self.edges[p].get(w) == q:
             self.edges[p][w] = twin
@@ -214,36 +217,48 @@ class Scanner:
         return found
 
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[Span]:
-        """The spans of templates: matches in the order of both texts, the heaviest chain of each template and place.
-
-        A template may stand several times; a chain ends where the template starts again, so only the best
-        chain that begins after the last one counts for another span.
-        """
+        """The template spans of a row; see :func:`chains`."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for start, length, state in matches:
-            for t, end in self._automaton.places[state].items():
+            for t, ends in self._automaton.places[state].items():
                 if t < len(self.sizes) and length >= min(LONG_MATCH, self.sizes[t]):
-                    by.setdefault(t, []).append((start, length, end - length))
+                    by.setdefault(t, []).extend((start, length, end - length) for end in ends)
         spans = []
         for t, own in by.items():
-            chain: list[tuple[int, int, int]] = []
-            covered = 0
-
-            def close(chain=chain, t=t) -> None:
-                covered = sum(length for _, length, _ in chain) / self.sizes[t]
-                if covered >= COVERED:
-                    spans.append(Span(self.labels[t], chain[0][0], chain[-1][0] + chain[-1][1], min(1.0, covered)))
-
-            for start, length, place in sorted(own):
-                if chain and (place < chain[-1][2] + chain[-1][1] or start < chain[-1][0] + chain[-1][1] or start - chain[-1][0] > 4 * self.sizes[t]):
-                    close()
-                    chain.clear()
-                chain.append((start, length, place))
-            if chain:
-                close()
+            spans += [Span(self.labels[t], first, last, min(1.0, weight / self.sizes[t])) for first, last, weight in chains(own, APART * self.sizes[t]) if weight >= COVERED * self.sizes[t]]
         return sorted(spans, key=lambda x: (x.first, x.last, x.label))
 
 
+def chains(matches: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
+    """(first, last, weight) of chains of matches (start, length, place in the template), the heaviest first.
+
+    In a chain, starts and places grow, and what a match shares with the one before it counts once; neighbours start
+    at most ``reach`` words apart. The first chain is the heaviest of all; each further one is what the heaviest
+    chain that ends elsewhere has besides the matches of earlier ones, if it lies outside their spans.
+    """
+    own = sorted(matches)
+    best, before = [length for _, length, _ in own], [-1] * len(own)
+    for j, (start, length, place) in enumerate(own):
+        for i in range(j - 1, -1, -1):
+            a, n, p = own[i]
+            if start - a > reach:
+                break
+            gain = length - max(0, a + n - start, p + n - place)
+            if a < start and p < place and gain > 0 and best[i] + gain > best[j]:
+                best[j], before[j] = best[i] + gain, i
+    used, out = [False] * len(own), []
+    for j in sorted(range(len(own)), key=lambda j: (-best[j], j)):
+        if used[j]:
+            continue
+        i = first = j
+        while i >= 0 and not used[i]:
+            used[i], first, i = True, i, before[i]
+        a, z = own[first][0], own[j][0] + own[j][1]
+        if all(z <= x or y <= a for x, y, _ in out):
+            out.append((a, z, best[j] - (best[i] if i >= 0 else 0)))
+    return out
+
+
 _scanners: list[Scanner] = []
 
 
@@ -260,7 +275,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """What each row of ``docs`` (doc_id, text) has of licence wordings; ``spans`` are template spans in words.
 
     ``score`` is 1 where a base phrase stands, else the largest coverage of a template's span, 0 without one.
-    A null text is empty: no words, empty labels, score 0. Repeated rows are each answered. No shuffle.
+    A null text is empty: no words, empty labels, score 0. Repeated rows are each answered, a row without a doc_id under
+    a null one; an empty table gives an empty one. A very long text is read in one piece. No shuffle.
     """
     runtime.ship(docs.sparkSession)
 
