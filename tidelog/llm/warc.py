@@ -137,11 +137,12 @@ def parse_record(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def with_originals(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, payload) with ``original``: the largest page_id of those with an equal payload.
 
-    Only digests are grouped, after a sum in each task, so a payload that a third of all pages share is no
-    large group anywhere.
+    Only digests are grouped, after a sum in each task, and the groups are stored first: so the pages of a payload that
+    a third of all share are split over tasks by Spark when they meet their group.
     """
     keyed = pages.withColumn("key", F.sha1("payload"))
     groups = keyed.groupBy("key").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("key", "original")
+    groups = runtime.stored(groups, "originals")
     return keyed.join(groups, "key", "left").select("page_id", "url", "payload", F.coalesce("original", "page_id").alias("original"))
 
 
@@ -200,7 +201,7 @@ def read_back(bundles: DataFrame) -> DataFrame:
 def archive(pages: DataFrame) -> DataFrame:
     """Write a record for each row of ``pages`` (page_id, url, html), and return what the archives say of each.
 
-    A null html is an empty payload. Rows without a page_id are left out. Rows that share a page_id each have a
+    A null html is an empty payload; an empty table gives no archive and no row; a very long page is a frame by itself. Rows without a page_id are left out. Rows that share a page_id each have a
     record; with equal payloads and the largest page_id of them all, each is a response.
     """
     spark = pages.sparkSession
