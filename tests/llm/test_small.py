@@ -329,8 +329,72 @@ def test_automaton_gives_matching_statistics():
     assert ends == {k: (longest[k], ends[k][1]) for k in ends}
     assert set(ends) == {k for k in range(len(text)) if longest[k] and (k + 1 == len(text) or longest[k + 1] <= longest[k])}
     for end, (n, state) in ends.items():
-        for t, place in machine.places[state].items():
-            assert templates[t][place - n : place] == text[end + 1 - n : end + 1]
+        run = text[end + 1 - n : end + 1]
+        for t in range(3):
+            assert machine.places[state].get(t, []) == [k for k in range(n, 31) if templates[t][k - n : k] == run]
+
+
+def heaviest(matches, reach):
+    """The weight of the heaviest chain, over all subsets."""
+    most = 0
+    for k in range(1, 1 << len(matches)):
+        some = sorted(m for i, m in enumerate(matches) if k >> i & 1)
+        weight, good = some[0][1], True
+        for (a, n, p), (b, m, q) in zip(some, some[1:]):
+            gain = m - max(0, a + n - b, p + n - q)
+            good &= a < b and p < q and b - a <= reach and gain > 0
+            weight += gain
+        most = max(most, weight if good else 0)
+    return most
+
+
+def test_chains_are_the_heaviest():
+    rnd = random.Random(6)
+    for _ in range(300):
+        matches = [(rnd.randrange(30), rnd.randint(1, 6), rnd.randrange(20)) for _ in range(rnd.randint(1, 9))]
+        found = license.chains(matches, reach=12)
+        assert found[0][2] == heaviest(matches, 12)
+        assert all(z <= x or y <= a for k, (a, z, _) in enumerate(found) for x, y, _ in found[:k])
+    assert license.chains([], 5) == []
+
+
+def test_license_labels_and_scores_by_brute_force(spark):
+    rnd = random.Random(7)
+    known = sorted({w for _, t in license.TEMPLATES for w in WORD.findall(t.translate(LOW))})
+    texts = []
+    for _ in range(40):
+        words = []
+        for _ in range(rnd.randint(1, 2)):
+            template = WORD.findall(rnd.choice(license.TEMPLATES)[1].translate(LOW))
+            for _ in range(rnd.randint(0, 2)):
+                at = rnd.randrange(len(template) + 1)
+                template[at : at + rnd.randint(0, 8)] = [rnd.choice([*known, "zzz"]) for _ in range(rnd.randint(0, 8))]
+            words += template + ["zzz"] * rnd.randint(0, 3)
+        texts.append(" ".join(words))
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    got = {r["doc_id"]: r for r in license.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    templates = [(label, WORD.findall(t.translate(LOW))) for label, t in license.TEMPLATES]
+    runs = {tuple(t[a:z]) for _, t in [*templates, *((x, p.split()) for p, x in phrases.items())] for a in range(len(t)) for z in range(a + 1, len(t) + 1)}
+    for i, text in enumerate(texts):
+        w, labels, score = text.split(" "), set(), 0.0
+        longest = [max((n for n in range(1, k + 2) if tuple(w[k + 1 - n : k + 1]) in runs), default=0) for k in range(len(w))]
+        ends = [(k, n) for k, n in enumerate(longest) if n and (k + 1 == len(w) or longest[k + 1] <= n)]
+        for label, t in templates:
+            least = min(license.LONG_MATCH, len(t))
+            own = [(k + 1 - n, n, p) for k, n in ends if n >= least for p in range(len(t) - n + 1) if t[p : p + n] == w[k + 1 - n : k + 1]]
+            found = [c for c in license.chains(own, license.APART * len(t)) if c[2] >= license.COVERED * len(t)]
+            if found:
+                labels.add(label)
+                score = max(score, *(min(1.0, c[2] / len(t)) for c in found), 0.0)
+        base = {label for p, label in phrases.items() if f" {p} " in f" {text} "}
+        assert got[i]["labels"] == ",".join(sorted(labels | base)) and got[i]["score"] == pytest.approx(1.0 if base else score), i
+
+
+def test_a_stray_match_loses_no_license(spark):
+    words = license.TEMPLATES[0][1].split(" ")
+    text = " ".join(words[:50] + words[2:10] + words[50:])
+    got = license.scan_licenses(spark.createDataFrame([(1, text), (2, text + " and " + text)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == ["mit", "mit"] and got[0]["score"] > 0.95 and len(got[1]["spans"]) == 2
 
 
 # --- 5: repeated passages -------------------------------------------------------------------------

@@ -11,8 +11,8 @@ are few. Candidates with more than FAR ones are far below the threshold (a pair
 
 Within a bucket every class is compared with the bucket's first class, not with all. What is linked so is joined into
 components; then, in buckets with classes of several components, those outside the largest are compared with the
-other components (all their classes, in blocks) and those that are still alone with each other. So a link is lost only
-if its ends are in one component already.
+other components (all their classes, in blocks) and those that are still alone with each other (pair by pair where a
+bucket has FEW of them, else in blocks). So a link is lost only if its ends are in one component already.
 """
 
 from __future__ import annotations
@@ -122,34 +122,49 @@ def _near(a: str, b: str):
     return ones <= FAR
 
 
+#: Pairs with the same b that are confirmed by one task.
+TOGETHER = 256
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """The ``pairs`` (a, b) of classes whose full sets are similar enough.
 
-    The sets of a's come from a scan that emits one for each of its pairs, those of b's once each; texts and
+    One scan emits the set of each a, and that of each b once for every TOGETHER of its pairs; they meet in lots of
+    (b, lot), where b's set comes first. So a b that very many are compared with is dealt over many tasks, and texts and
     sets of other rows stay where they are.
     """
-    spots = classes.select("id", "f", "r")
-    left = Sidecar.write(pairs.join(spots.withColumnRenamed("id", "a"), "a").select("f", "r", F.col("a").alias("own"), F.col("b").alias("other")), "pairs-left")
-    right = Sidecar.write(pairs.select(F.col("b").alias("id")).distinct().join(spots, "id").select("f", "r", F.col("id").alias("own"), F.col("id").alias("other")), "pairs-right")
+    spark = docs.sparkSession
+    lots = runtime.stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).alias("lots")), "pair-lots")
+    asked = pairs.join(lots, "b").select(F.col("a").alias("own"), "b", F.pmod(F.xxhash64("a"), "lots").alias("lot"), F.lit(1).alias("asks"))
+    first = lots.select(F.col("b").alias("own"), "b", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"), F.lit(0).alias("asks"))
+    spots = classes.select(F.col("id").alias("own"), "f", "r")
+    side = Sidecar.write(asked.unionByName(first).join(spots, "own").select("f", "r", "own", "b", "lot", "asks"), "pairs")
 
     def work(s: K.Slice, f: int, numbers: np.ndarray, row: np.ndarray, found: np.ndarray) -> dict:
         sets, at = shingle_sets(s, width)
-        return {"own": found[:, 0], "other": found[:, 1], "members": pa.array([sets[at[i] : at[i + 1]].tobytes() for i in row], pa.binary())}
+        return {"own": found[:, 0], "b": found[:, 1], "lot": found[:, 2], "asks": found[:, 3], "members": pa.array([sets[at[i] : at[i + 1]].tobytes() for i in row], pa.binary())}
 
-    schema = "own long, other long, members binary"
-    a = scan_beside(docs, left, work, schema).select(F.col("own").alias("a"), F.col("other").alias("b"), F.col("members").alias("x"))
-    b = scan_beside(docs, right, work, schema).select(F.col("own").alias("b"), F.col("members").alias("y"))
+    sets = scan_beside(docs, side, work, "own long, b long, lot long, asks long, members binary")
+    dealt = sets.repartition(runtime.shuffle_partitions(spark), "b", "lot").sortWithinPartitions("b", "lot", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, v = None, np.zeros(0, K.U64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = (np.frombuffer(z.as_buffer(), K.U64) for z in (x, y))
+            own, b, lot, asks = (c.to_pylist() for c in batch.columns[:4])
+            linked = []
+            for i, members in enumerate(batch.column(4)):
+                u = np.frombuffer(members.as_buffer(), K.U64)
+                if not asks[i]:
+                    at, v = (b[i], lot[i]), u.copy()
+                    continue
+                if at != (b[i], lot[i]):
+                    raise AssertionError(f"the set of class {b[i]} is missing")
                 same = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
-                keep.append(100 * same >= PERCENT * (len(u) + len(v) - same))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                if 100 * same >= PERCENT * (len(u) + len(v) - same):
+                    linked.append((own[i], b[i]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in linked], pa.int64()), "b": pa.array([y for _, y in linked], pa.int64())})
 
-    return a.join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return dealt.select("own", "b", "lot", "asks", "members").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -170,12 +185,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+#: Classes of a bucket that are compared pair by pair; more are compared in blocks.
+FEW = 64
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(id, component) of the classes that have links to other classes."""
+    """(id, component) of the classes that have links to other classes.
+
+    Sides of joins that sum up a key are stored first: then a key that holds very many rows of the other side is split
+    over tasks by Spark when it runs.
+    """
     sketches = classes.select("id", F.struct(*(f"s{k}" for k in range(SKETCH))).alias("sketch"))
     # The band's number is part of its key.
     members = classes.select("id", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    shared = runtime.stored(members.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "shared-keys")
     buckets = runtime.stored(members.join(shared, "key"), "buckets")
 
     def sifted(pairs: DataFrame) -> DataFrame:
@@ -186,58 +209,76 @@ def linked_classes(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame
     links = runtime.stored(_confirmed(docs, classes, tried, width), "links")
     labels = components(links)
 
-    sized = labels.groupBy("component").agg(F.count("*").alias("size"))
+    sized = runtime.stored(labels.groupBy("component").agg(F.count("*").alias("size")), "component-sizes")
     labels = runtime.stored(labels.join(sized, "component").select("id", "component", "size"), "sized-labels")
 
     # Buckets whose classes are in several components: every class outside the largest one is still to be compared.
     labelled = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-    held = labelled.groupBy("key", "component", "size").agg(F.count("*").alias("n"))
-    mixed = held.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("n", "component")).alias("most")).where("several > 1").select("key", F.col("most.component").alias("major"))
-    open_ones = runtime.stored(labelled.join(mixed, "key").where("component != major OR size = 1").select("key", "id", "component", "size"), "open-classes")
-    wholes = held.where("size > 1").join(mixed, "key").select("key", F.col("component").alias("other"))
-    with_components = open_ones.join(wholes, "key").where("component != other").select(F.col("id").alias("a"), F.col("other").alias("component")).distinct()
-    new = _linked_to_components(docs, classes, labels, runtime.stored(with_components, "with-components"), width)
-
-    single = open_ones.where("size = 1").select("key", "id").join(classes.select("id", "bands", F.struct(*(f"s{k}" for k in range(SKETCH))).alias("sketch")), "id")
-    x, y = (single.select("key", F.col("id").alias(c), F.col("bands").alias(f"bands_{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    # A pair that shares several bands is tried in the first of them only.
-    first_band = F.expr("get(filter(zip_with(bands_a, bands_b, (x, y) -> CASE WHEN x = y THEN x END), z -> z IS NOT NULL), 0)")
-    pairs = runtime.stored(x.join(y, "key").where((F.col("a") > F.col("b")) & _near("sa", "sb") & (first_band == F.col("key"))).select("a", "b"), "single-pairs")
-    new = runtime.stored(new.unionByName(_confirmed(docs, classes, pairs, width)), "new-links")
-    if new.isEmpty():
+    held = runtime.stored(labelled.groupBy("key", "component", "size").agg(F.count("*").alias("n")), "held")
+    mixed = runtime.stored(held.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("n", "component")).alias("most"), F.sum((F.col("size") == 1).cast("long")).alias("alone")).where("several > 1").select("key", F.col("most.component").alias("major"), "alone"), "mixed")
+    open_ones = runtime.stored(labelled.join(mixed, "key").where("component != major OR size = 1").select("key", "id", "component", "size", "alone"), "open-classes")
+    wholes = runtime.stored(held.where("size > 1").join(mixed, "key").select("key", F.col("component").alias("other")), "wholes")
+    asked = runtime.stored(open_ones.join(wholes, "key").where("component != other").select("id", F.col("other").alias("component")).distinct(), "with-components")
+    new = []
+    if not asked.isEmpty():
+        standing = labels.select("id", "component").join(asked.select("component").distinct(), "component")
+        new.append(_linked_in_blocks(docs, classes, asked, standing, width))
+
+    alone = open_ones.where("size = 1").select("key", "id", "alone")
+    few = alone.where(F.col("alone") <= FEW).select("key", "id").join(sketches, "id")
+    x, y = (few.select("key", F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    pairs = x.join(y, "key").where((F.col("a") > F.col("b")) & _near("sa", "sb")).select("a", "b").distinct()
+    pairs = runtime.stored(pairs, "single-pairs")
+    if not pairs.isEmpty():
+        new.append(_confirmed(docs, classes, pairs, width))
+    many = runtime.stored(alone.where(F.col("alone") > FEW).select("id", F.col("key").alias("component")), "many-alone")
+    if not many.isEmpty():
+        new.append(_linked_in_blocks(docs, classes, many, many, width, apart=True))
+    if not new:
         return labels.select("id", "component")
-    return components(links.unionByName(new))
+    found = new[0]
+    for more in new[1:]:
+        found = found.unionByName(more)
+    found = runtime.stored(found, "new-links")
+    if found.isEmpty():
+        return labels.select("id", "component")
+    return components(links.unionByName(found))
 
 
 #: Shingles of the classes that are compared with each other at once.
 BLOCK = 1 << 16
+#: Tasks that the blocks of one component are dealt over, at most.
+SPREAD = 64
 
 
-def _linked_to_components(docs: DataFrame, classes: DataFrame, labels: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """(a, b): a link of each asked class to each component (a, component) that has a class it is similar to.
+def _linked_in_blocks(docs: DataFrame, classes: DataFrame, asked: DataFrame, standing: DataFrame, width: int, apart: bool = False) -> DataFrame:
+    """(a, b): links of asked classes to the standing ones of the same component; both sides are (id, component).
 
-    Both sides are dealt into blocks of about BLOCK shingles and compared block by block; a block pair is one
-    row and gives one link at most for each of its asked classes, so pairs are never listed.
+    Both are dealt into blocks of about BLOCK shingles and compared block by block; pairs are never listed. The classes of
+    a component are linked already, so an asked class needs one link to a block. If they stand ``apart`` (both
+    sides are the same classes, without links yet), a block pair gives links that connect all that its links connect.
     """
     spots = classes.select("id", "f", "r", "n")
 
-    def blocks(members: DataFrame, name: str) -> DataFrame:
-        """(component, block) with lists of ids and sets, from (id, component)."""
-        placed = members.join(spots, "id")
-        totals = placed.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-        dealt = placed.join(totals, "component").select("f", "r", F.col("id").alias("own"), "component", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-        side = Sidecar.write(dealt, name)
+    def counted(members: DataFrame, name: str) -> DataFrame:
+        return runtime.stored(members.join(spots, "id").groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")), name)
+
+    asked_blocks, standing_blocks = counted(asked, "asked-blocks"), counted(standing, "standing-blocks")
 
-        def work(s: K.Slice, f: int, numbers: np.ndarray, row: np.ndarray, found: np.ndarray) -> dict:
-            sets, at = shingle_sets(s, width)
-            return {"own": found[:, 0], "component": found[:, 1], "block": found[:, 2], "members": pa.array([sets[at[i] : at[i + 1]].tobytes() for i in row], pa.binary())}
+    def work(s: K.Slice, f: int, numbers: np.ndarray, row: np.ndarray, found: np.ndarray) -> dict:
+        sets, at = shingle_sets(s, width)
+        return {"own": found[:, 0], "component": found[:, 1], "block": found[:, 2], "members": pa.array([sets[at[i] : at[i + 1]].tobytes() for i in row], pa.binary())}
 
-        got = scan_beside(docs, side, work, "own long, component long, block long, members binary")
+    def blocks(members: DataFrame, totals: DataFrame, name: str) -> DataFrame:
+        """(component, block) with a list of ids and sets."""
+        dealt = members.join(totals, "component").join(spots, "id").select("f", "r", F.col("id").alias("own"), "component", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+        got = scan_beside(docs, Sidecar.write(dealt, name), work, "own long, component long, block long, members binary")
         # BLOCK bounds the list.
         return got.groupBy("component", "block").agg(F.collect_list(F.struct("own", "members")).alias(name))
 
-    left = blocks(asked.select(F.col("a").alias("id"), "component"), "asked")
-    right = blocks(labels.select("id", "component").join(asked.select("component").distinct(), "component"), "standing")
+    left = blocks(asked, asked_blocks, "asked").join(standing_blocks.withColumnRenamed("blocks", "there"), "component")
+    left = left.select("component", F.col("block").alias("mine"), "asked", F.explode(F.expr(f"sequence(0, least(there, {SPREAD}) - 1)")).alias("way"))
+    right = blocks(standing, standing_blocks, "standing").withColumn("way", F.pmod("block", F.lit(SPREAD)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(listed):
@@ -254,6 +295,13 @@ def _linked_to_components(docs: DataFrame, classes: DataFrame, labels: DataFrame
                 starts = np.cumsum(sizes) - sizes
                 order = np.argsort(flat, kind="stable")
                 ranked = flat[order]
+                forest: dict[int, int] = {}
+
+                def root(i: int, forest=forest) -> int:
+                    while forest.setdefault(i, i) != i:
+                        forest[i] = i = forest[forest[i]]
+                    return i
+
                 for i, u in zip(own, sets, strict=True):
                     low, high = np.searchsorted(ranked, u, "left"), np.searchsorted(ranked, u, "right")
                     marks = np.zeros(len(flat) + 1, np.int32)
@@ -263,12 +311,17 @@ def _linked_to_components(docs: DataFrame, classes: DataFrame, labels: DataFrame
                     within[order] = np.cumsum(marks[:-1])
                     same = np.add.reduceat(within, starts)
                     hit = np.flatnonzero(100 * same >= PERCENT * (len(u) + sizes - same))
-                    if len(hit):
-                        a.append(i)
-                        b.append(others[hit[0]])
+                    for j in (hit if apart else hit[:1]).tolist():
+                        if not apart or root(i) != root(others[j]):
+                            forest[root(i)] = root(others[j])
+                            a.append(i)
+                            b.append(others[j])
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return left.join(right, "component").select("asked", "standing").mapInArrow(run, "a long, b long")
+    both = left.join(right, ["component", "way"])
+    if apart:
+        both = both.where("mine <= block")
+    return both.select("asked", "standing").mapInArrow(run, "a long, b long")
 
 
 def grouped(docs: DataFrame, width: int) -> DataFrame:
@@ -293,7 +346,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ``component_id`` is the smallest doc_id that links reach, ``kept`` tells whether it is the row's own. A null or
     empty text, or one without words, has no shingles and no links. Rows with equal sets are in one component,
     also rows that repeat; rows that share a doc_id but not their text each follow their text. A row without a
-    doc_id is linked with nothing and has null as component and ``kept``.
+    doc_id is linked with nothing and has null as component and ``kept``. An empty table gives an empty one. A very
+    long text has its whole set.
     """
     runtime.ship(docs.sparkSession)
     return grouped(_long_ids(docs), width).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
@@ -319,4 +373,4 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 stays[find(f, numbers)[0]] = False
                 yield pa.RecordBatch.from_arrays(part.columns[2:], names=columns).filter(pa.array(stays))
 
-    return rested.select(*place(), *(rested[c] for c in columns)).mapInArrow(run, rested.schema)
+    return rested.select(*place(rested), *(rested[c] for c in columns)).mapInArrow(run, rested.schema)

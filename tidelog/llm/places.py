@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,16 @@ from . import textkit as K
 CHUNK = 1 << 14
 
 
+class Lost(Exception):
+    """A file that was written is not there, or is not whole."""
+
+
 class Sidecar:
-    """Rows of numbers by place (file, row) in the input, in small files of the shared folder."""
+    """Rows of numbers by place (file, row) in the input, in small files of the shared folder.
+
+    A list beside them names every file with its size, so a file that gets lost is an error and not a place
+    without findings.
+    """
 
     def __init__(self, folder: str, names: list[str]):
         self.folder, self.names = folder, names
@@ -35,13 +44,15 @@ class Sidecar:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[np.ndarray] = []
-            at, written = None, 0
+            at, written = (0, 0), []
 
             def close() -> None:
-                nonlocal held, written
+                nonlocal held
                 if held:
-                    runtime.put_file(side._file(*at), np.concatenate(held).astype("<i8").tobytes())
-                    held, written = [], written + 1
+                    data = np.concatenate(held).astype("<i8").tobytes()
+                    runtime.put_file(side._file(*at), data)
+                    written.append((*at, len(data)))
+                    held = []
 
             for batch in batches:
                 rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
@@ -55,11 +66,13 @@ class Sidecar:
                             at = here
                         held.append(part[:, 1:])
             close()
-            yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+            yield pa.RecordBatch.from_pydict(dict(zip(("f", "chunk", "bytes"), np.array(written, np.int64).reshape(-1, 3).T, strict=True)))
 
         order = found.select(*(F.col(c).cast("long") for c in ("f", "r", *names)))
         dealt = order.repartition(runtime.shuffle_partitions(spark), "f", F.floor(F.col("r") / CHUNK)).sortWithinPartitions("f", "r")
-        dealt.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+        # A row for each file of the sidecar, one for CHUNK rows of the input at most.
+        files = sorted(tuple(r) for r in dealt.mapInArrow(run, "f long, chunk long, bytes long").collect())
+        runtime.put_file(f"{side.folder}/list", np.array(files, "<i8").tobytes())
         return side
 
     def _file(self, f: int, chunk: int) -> str:
@@ -70,20 +83,33 @@ class Sidecar:
         kept: dict[tuple[int, int], np.ndarray] = {}
         width = 1 + len(self.names)
 
+        def read(name: str) -> np.ndarray:
+            try:
+                with runtime.RandomFile(name) as source:
+                    return np.frombuffer(source.read_at(0, source.size), "<i8")
+            except FileNotFoundError as e:
+                raise Lost(name) from e
+
+        listed = read(f"{self.folder}/list").reshape(-1, 3)
+
         def load(f: int, chunk: int) -> np.ndarray:
             if (f, chunk) not in kept:
                 if len(kept) > 4:
                     kept.clear()
-                try:
-                    with runtime.RandomFile(self._file(f, chunk)) as source:
-                        kept[f, chunk] = np.frombuffer(source.read_at(0, source.size), "<i8").reshape(-1, width)
-                except FileNotFoundError:
+                a, z = np.searchsorted(listed[:, 0], f, "left"), np.searchsorted(listed[:, 0], f, "right")
+                at = a + np.searchsorted(listed[a:z, 1], chunk)
+                if at < z and listed[at, 1] == chunk:
+                    numbers = read(self._file(f, chunk))
+                    if numbers.nbytes != listed[at, 2]:
+                        raise Lost(f"{self._file(f, chunk)} has {numbers.nbytes} bytes of {listed[at, 2]}")
+                    kept[f, chunk] = numbers.reshape(-1, width)
+                else:
                     kept[f, chunk] = np.zeros((0, width), np.int64)
             return kept[f, chunk]
 
         def find(f: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             index, numbers = [np.zeros(0, np.int64)], [np.zeros((0, width - 1), np.int64)]
-            for chunk in np.unique(rows // CHUNK).tolist():
+            for chunk in K.distinct(rows // CHUNK).tolist():
                 table = load(f, chunk)
                 place = np.searchsorted(rows, table[:, 0])
                 hit = (place < len(rows)) & (rows[np.minimum(place, len(rows) - 1)] == table[:, 0])
@@ -94,16 +120,17 @@ class Sidecar:
         return find
 
 
-#: The place of a row, as columns.
-def place() -> list:
-    return [F.xxhash64("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r")]
+def place(docs: DataFrame) -> list:
+    """The place of a row, as columns; a column of ``docs`` that is called like the reader's own stays a plain column."""
+    source = docs.metadataColumn("_metadata")
+    return [F.xxhash64(source["file_path"]).alias("__f"), source["row_index"].alias("__r")]
 
 
 def at_rest(docs: DataFrame) -> DataFrame:
     """``docs`` if it reads Parquet files as they are, else a stored copy that does."""
     try:
-        docs.select("_metadata.row_index")
-    except Exception as e:
+        docs.select(*place(docs))
+    except AnalysisException as e:
         if "_metadata" not in str(e):
             raise
         return runtime.stored(docs, "texts")
@@ -133,11 +160,11 @@ def scan(docs: DataFrame, work: Callable[[K.Slice, int, np.ndarray], dict | None
                     if got is not None:
                         yield pa.RecordBatch.from_pydict(got | {name: part.column(3 + k).slice(s.lo, s.hi - s.lo) for k, name in enumerate(also)})
 
-    return docs.select(*place(), docs["text"], *(docs[c] for c in also)).mapInArrow(run, schema)
+    return docs.select(*place(docs), docs["text"], *(docs[c] for c in also)).mapInArrow(run, schema)
 
 
 def scan_beside(docs: DataFrame, side: Sidecar, work: Callable[[K.Slice, int, np.ndarray, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
-    """Like :func:`scan`, for slices of which ``side`` has findings: ``work`` also gets rows (in the slice) and numbers."""
+    """Like :func:`scan`, for the rows alone of which ``side`` has findings: ``work`` also gets rows (in the slice) and numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = side.reader()
@@ -146,9 +173,10 @@ def scan_beside(docs: DataFrame, side: Sidecar, work: Callable[[K.Slice, int, np
                 row, found = find(f, numbers)
                 if not len(row):
                     continue
-                for s in K.slices(part.column(2)):
+                wanted = K.distinct(row.copy())
+                row, numbers = np.searchsorted(wanted, row), numbers[wanted]
+                for s in K.slices(part.column(2).take(pa.array(wanted))):
                     mine = (row >= s.lo) & (row < s.hi)
-                    if mine.any():
-                        yield pa.RecordBatch.from_pydict(work(s, f, numbers[s.lo : s.hi], row[mine] - s.lo, found[mine]))
+                    yield pa.RecordBatch.from_pydict(work(s, f, numbers[s.lo : s.hi], row[mine] - s.lo, found[mine]))
 
-    return docs.select(*place(), docs["text"]).mapInArrow(run, schema)
+    return docs.select(*place(docs), docs["text"]).mapInArrow(run, schema)

@@ -155,7 +155,7 @@ def _sorted_out(named: DataFrame, purpose: str) -> tuple[DataFrame, DataFrame]:
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """(f, r, first, last): runs of window starts, in bytes of the row's text, whose windows stand elsewhere too. ``docs`` reads files."""
-    phrases = phrase_table(docs, length, gram)
+    phrases = runtime.stored(phrase_table(docs, length, gram), "all-phrases")
     found, rest = _sorted_out(phrases, "phrases")
     blocks = runtime.stored(block_table(docs, Sidecar.write(rest, "open-phrases"), length, block), "blocks")
     found_blocks, rest = _sorted_out(blocks, "block-names")
@@ -186,7 +186,7 @@ def _with_repeats(docs: DataFrame, length: int, columns: list[str], work: Callab
                     row, found = find(f, numbers[s.lo : s.hi])
                     yield work(s, own.slice(s.lo, s.hi - s.lo), _covered(s, row, found, length), row)
 
-    return docs.select(*place(), docs["text"].alias("__text"), *(docs[c] for c in columns)).mapInArrow(run, schema)
+    return docs.select(*place(docs), docs["text"].alias("__text"), *(docs[c] for c in columns)).mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -194,7 +194,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Texts are UTF-8 bytes, a null one is empty; no match crosses rows. Every byte that a string of ``length`` bytes
     covers goes if that string starts anywhere else as well, in this row or in another. Repeated rows of ``length``
-    bytes or more go whole; shorter ones and empty tables stay as they are.
+    bytes or more go whole; shorter ones and empty tables stay as they are. A very long text is one slice by itself.
     """
     runtime.ship(docs.sparkSession)
 
@@ -227,7 +227,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             return out
         text = part.column("text").to_pylist()
         counts = part.column("n_chars").to_pylist() if "n_chars" in columns else None
-        for i in np.unique(row).tolist():
+        for i in K.distinct(row.copy()).tolist():
             a, b = s.offsets[i], s.offsets[i + 1]
             text[i] = s.buf[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore")
             if counts is not None:
