@@ -177,7 +177,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = runtime.stored(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     while True:
         around = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        lower = labels.join(around, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
+        lower = runtime.stored(labels.join(around, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was")), "lower-labels")
         jumped = lower.join(lower.select(F.col("id").alias("component"), F.col("component").alias("next")), "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("component"), "was")
         stored = runtime.stored(jumped, "labels")
         labels = stored.select("id", "component")
