@@ -309,7 +309,7 @@ def _encoded(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
         finally:
             c.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(runtime.tidy(run), DIGEST + ", ids array<int>" * with_ids)
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -341,4 +341,4 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
                 texts.append("".join([*(d.feed(values[k : k + RUN].tolist()) for k in range(0, len(values), RUN)), d.end()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(runtime.tidy(run), "doc_id long, text string")

@@ -187,7 +187,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int | None,
         yield pa.RecordBatch.from_pydict({"file": [file], "part": [part], "n_ids": [len(all_ids)], "n_docs": [len(all_docs)]})
 
     ordered = docs.where("doc_id is not null").select("doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, MANIFEST)
+    return ordered.mapInArrow(runtime.tidy(run), MANIFEST)
 
 
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long, n_checked long"
@@ -218,7 +218,7 @@ def read_digests(files: DataFrame) -> DataFrame:
 
     # One file a task: the number of files is the number of tasks that wrote them.
     spread = starts.repartition(runtime.shuffle_partitions(files.sparkSession), "file")
-    return spread.mapInArrow(run, DIGEST)
+    return spread.mapInArrow(runtime.tidy(run), DIGEST)
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int = 2, added_tokens: bool = False) -> DataFrame:

@@ -292,4 +292,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 columns.append(pa.array([[p._asdict() for p in y] for y in spans], kind))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), *columns], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(runtime.tidy(run), SCHEMA)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import runtime
 from . import textkit as K
 
 #: Labelled rows that a classifier is fitted on, at most: those with the smallest hash of their doc_id.
@@ -89,7 +90,7 @@ def fit(rows: DataFrame, train: Callable[[list[tuple[K.Slice, np.ndarray]]], Mod
             at = np.flatnonzero(m.weights)
             yield pa.RecordBatch.from_pydict({"size": pa.array([len(m.weights)], pa.int64()), "bias": pa.array([m.bias], pa.float64()), "at": pa.array([at.astype("<i4").tobytes()], pa.binary()), "weights": pa.array([m.weights[at].astype("<f4").tobytes()], pa.binary())})
 
-    got = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "size long, bias double, at binary, weights binary").collect()
+    got = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(runtime.tidy(run), "size long, bias double, at binary, weights binary").collect()
     if not got:
         return Model(0.0, np.zeros(1, np.float32))
     weights = np.zeros(got[0]["size"], np.float32)
@@ -107,7 +108,7 @@ def score(docs: DataFrame, model: Model, rate: Callable[[K.Slice, Model], np.nda
             for s in K.slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), pa.array(rate(s, m), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(runtime.tidy(run), "doc_id long, score double")
 
 
 def decided(scored: DataFrame, threshold: float) -> DataFrame:

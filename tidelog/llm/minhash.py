@@ -164,7 +164,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int
                     linked.append((own[i], b[i]))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in linked], pa.int64()), "b": pa.array([y for _, y in linked], pa.int64())})
 
-    return dealt.select("own", "b", "lot", "asks", "members").mapInArrow(run, "a long, b long")
+    return dealt.select("own", "b", "lot", "asks", "members").mapInArrow(runtime.tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def _linked_in_blocks(docs: DataFrame, classes: DataFrame, asked: DataFrame, sta
     both = left.join(right, ["component", "way"])
     if apart:
         both = both.where("mine <= block")
-    return both.select("asked", "standing").mapInArrow(run, "a long, b long")
+    return both.select("asked", "standing").mapInArrow(runtime.tidy(run), "a long, b long")
 
 
 def grouped(docs: DataFrame, width: int) -> DataFrame:
@@ -373,4 +373,4 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 stays[find(f, numbers)[0]] = False
                 yield pa.RecordBatch.from_arrays(part.columns[2:], names=columns).filter(pa.array(stays))
 
-    return rested.select(*place(rested), *(rested[c] for c in columns)).mapInArrow(run, rested.schema)
+    return rested.select(*place(rested), *(rested[c] for c in columns)).mapInArrow(runtime.tidy(run), rested.schema)

@@ -71,7 +71,7 @@ class Sidecar:
         order = found.select(*(F.col(c).cast("long") for c in ("f", "r", *names)))
         dealt = order.repartition(runtime.shuffle_partitions(spark), "f", F.floor(F.col("r") / CHUNK)).sortWithinPartitions("f", "r")
         # A row for each file of the sidecar, one for CHUNK rows of the input at most.
-        files = sorted(tuple(r) for r in dealt.mapInArrow(run, "f long, chunk long, bytes long").collect())
+        files = sorted(tuple(r) for r in dealt.mapInArrow(runtime.tidy(run), "f long, chunk long, bytes long").collect())
         runtime.put_file(f"{side.folder}/list", np.array(files, "<i8").tobytes())
         return side
 
@@ -160,7 +160,7 @@ def scan(docs: DataFrame, work: Callable[[K.Slice, int, np.ndarray], dict | None
                     if got is not None:
                         yield pa.RecordBatch.from_pydict(got | {name: part.column(3 + k).slice(s.lo, s.hi - s.lo) for k, name in enumerate(also)})
 
-    return docs.select(*place(docs), docs["text"], *(docs[c] for c in also)).mapInArrow(run, schema)
+    return docs.select(*place(docs), docs["text"], *(docs[c] for c in also)).mapInArrow(runtime.tidy(run), schema)
 
 
 def scan_beside(docs: DataFrame, side: Sidecar, work: Callable[[K.Slice, int, np.ndarray, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
@@ -179,4 +179,4 @@ def scan_beside(docs: DataFrame, side: Sidecar, work: Callable[[K.Slice, int, np
                     mine = (row >= s.lo) & (row < s.hi)
                     yield pa.RecordBatch.from_pydict(work(s, f, numbers[s.lo : s.hi], row[mine] - s.lo, found[mine]))
 
-    return docs.select(*place(docs), docs["text"]).mapInArrow(run, schema)
+    return docs.select(*place(docs), docs["text"]).mapInArrow(runtime.tidy(run), schema)

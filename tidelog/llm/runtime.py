@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import shipping
 from ..shipping import shared_folder as shared_folder
-from ..shipping import ship as ship
+
+#: Bytes of a batch between Spark and its Python workers, where the session has Spark's own default.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, and bound the bytes of a batch: Spark bounds its rows, but texts may be long."""
+    shipping.ship(spark)
+    name, usual, bound = BATCH
+    if spark.conf.get(name, usual) in (usual, "64m", "64MB", "67108864"):
+        spark.conf.set(name, bound)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, the work of a task, with its freed memory given back at the end: a worker waits for its next task small."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: later steps start from those files."""

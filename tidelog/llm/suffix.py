@@ -186,7 +186,7 @@ def _with_repeats(docs: DataFrame, length: int, columns: list[str], work: Callab
                     row, found = find(f, numbers[s.lo : s.hi])
                     yield work(s, own.slice(s.lo, s.hi - s.lo), _covered(s, row, found, length), row)
 
-    return docs.select(*place(docs), docs["text"].alias("__text"), *(docs[c] for c in columns)).mapInArrow(run, schema)
+    return docs.select(*place(docs), docs["text"].alias("__text"), *(docs[c] for c in columns)).mapInArrow(runtime.tidy(run), schema)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

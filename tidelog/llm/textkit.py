@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+#: Bytes of text that are worked on at once, unless a row is longer; all arrays of a worker are small multiples of this.
+SLICE_BYTES = 512 << 10
 U64 = np.uint64
 
 

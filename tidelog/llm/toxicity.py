@@ -175,4 +175,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = linear.SAMPL
             for s in K.slices(batch.column(text)):
                 yield batch.slice(s.lo, s.hi - s.lo).filter(pa.array(rate(s, shared.value) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(runtime.tidy(run), docs.schema)

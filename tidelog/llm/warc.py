@@ -170,7 +170,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if records:
             yield close()
 
-    return pages.mapInArrow(run, "bundle string, records long")
+    return pages.mapInArrow(runtime.tidy(run), "bundle string, records long")
 
 
 DIGEST = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean"
@@ -195,7 +195,7 @@ def read_back(bundles: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok"])
 
-    return bundles.repartition(runtime.shuffle_partitions(bundles.sparkSession), "bundle").mapInArrow(run, DIGEST)
+    return bundles.repartition(runtime.shuffle_partitions(bundles.sparkSession), "bundle").mapInArrow(runtime.tidy(run), DIGEST)
 
 
 def archive(pages: DataFrame) -> DataFrame:
