@@ -20,6 +20,8 @@ WINDOW = 13
 #: Windows that may be sent to every executor, and bytes of their words and items.
 BOUND = 50_000
 BOUND_BYTES = 32 << 20
+#: Bytes of hits that may be sent to every executor.
+HIT_BYTES = 16 << 20
 #: A document is contaminated when a window's words are at least one in so many of its words.
 SHARE = 20
 
@@ -122,14 +124,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND) ->
     """``docs`` without contaminated rows; from the others the hit words go, with what stands between them.
 
     Columns stay as they are (``n_chars``, if there, is counted anew where the text changed); a null text stays null.
-    Hits are found first and stored by the place of their rows; a second scan meets them there, by a broadcast if Spark
-    finds the stored table below its limit for that, so that texts are not shuffled.
+    Hits are found first and stored by the place of their rows; a second scan meets them there, by a broadcast if they
+    have HIT_BYTES at most, so that texts are not shuffled; else by a join on the place.
     """
     docs = at_rest(docs)
     columns = docs.columns
     found = find_hits(docs, benchmark, place(docs), bound, hit_only=True)
     hits = found.withColumn("hit", _hit_words()).withColumn("n_hit", F.size("hit").cast("long"))
     hits = runtime.stored(hits.select("row.*", F.col("hit").alias("__hit"), contaminated().alias("__gone")), "hits")
+    size = hits.agg(F.sum(64 + 4 * F.size("__hit"))).head()[0] or 0
+    hits = F.broadcast(hits) if size <= HIT_BYTES else hits
     met = docs.select(*place(docs), F.struct(*(docs[c] for c in columns)).alias("row")).join(hits, ["__f", "__r"], "left").where(~F.coalesce("__gone", F.lit(False)))
     changed = F.col("__hit").isNotNull()
     cut = met.withColumn("ow", F.when(changed, F.array_remove(F.split("row.text", SEPARATOR_ANY_CASE), ""))).withColumn("os", F.when(changed, F.split("row.text", WORD_ANY_CASE)))

@@ -356,12 +356,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, of equal ones the first read.
 
-    Rows without words or doc_id stay.
+    Rows without words or doc_id stay, a null text among them; an empty table gives an empty one.
     """
     runtime.ship(docs.sparkSession)
     rested = _long_ids(docs)
     rows = runtime.stored(grouped(rested, width).where("n > 0 AND doc_id IS NOT NULL").select("f", "r", "doc_id", "component"), "groups")
     best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "f", "r")).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
+    best = runtime.stored(best, "best-rows")
     side = Sidecar.write(rows.join(best, "component").where("f != best.f OR r != best.r").select("f", "r"), "duplicates")
     columns = rested.columns
 
