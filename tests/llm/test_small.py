@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -209,6 +211,38 @@ def test_near_duplicates(docs, empty, rows, width):
     assert minhash.near_duplicates(empty, width).collect() == []
 
 
+def test_many_alone_in_a_bucket_are_compared_in_blocks(docs, rows, monkeypatch):
+    monkeypatch.setattr(minhash, "FEW", 1)
+    monkeypatch.setattr(minhash, "TOGETHER", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 300)
+    got = minhash.near_duplicates(docs, 2).collect()
+    monkeypatch.undo()
+    assert bag(tuple(r) for r in got) == bag(tuple(r) for r in minhash.near_duplicates(docs, 2).collect())
+
+
+def test_a_column_called_as_the_readers_own(spark, rows, tmp_path):
+    named = spark.createDataFrame(rows, SCHEMA).where("doc_id IS NOT NULL").withColumn("_metadata", F.struct(F.lit(7).alias("row_index")))
+    named.write.parquet(str(tmp_path / "d"))
+    plain = spark.read.parquet(str(tmp_path / "d"))
+    want = bag(tuple(r) for r in suffix.repeats(named.drop("_metadata")).collect())
+    for d in (plain, named):
+        assert bag(tuple(r) for r in suffix.repeats(d).collect()) == want
+        assert suffix.without_repeats(d).columns == named.columns
+        assert minhash.deduplicated(d).columns == named.columns
+        assert decontam.decontaminated(d, spark.createDataFrame([("x", "nothing of this")], "item_id string, text string")).columns == named.columns
+
+
+def test_a_lost_sidecar_file_is_an_error(spark, tmp_path):
+    from tidelog.llm import places
+
+    side = places.Sidecar.write(spark.createDataFrame([(5, 1, 10), (5, 20000, 11), (9, 0, 12)], "f long, r long, x long"), "lost")
+    find = side.reader()
+    assert find(5, np.array([0, 1, 20000]))[1].tolist() == [[10], [11]] and find(6, np.array([0]))[1].tolist() == []
+    Path(side._file(9, 0).removeprefix("file://")).unlink()
+    with pytest.raises(places.Lost):
+        side.reader()(9, np.array([0]))
+
+
 def test_outliers_of_a_large_group(spark, tmp_path):
     """The smallest ids are the most edited texts, so that stars round the first class of a bucket miss links."""
     rnd = random.Random(12)
