@@ -229,7 +229,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         counts = part.column("n_chars").to_pylist() if "n_chars" in columns else None
         for i in K.distinct(row.copy()).tolist():
             a, b = s.offsets[i], s.offsets[i + 1]
-            text[i] = s.buf[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore")
+            first = (s.buf[a:b] & 0xC0) != 0x80
+            first[0] = True
+            # What is left of characters on both sides of a passage must not make another one.
+            cut = np.logical_or.reduceat(gone[a:b], np.flatnonzero(first))
+            text[i] = s.buf[a:b][~cut[np.cumsum(first) - 1]].tobytes().decode("utf-8", "ignore")
             if counts is not None:
                 counts[i] = len(text[i])
         for name, values in (("text", text), ("n_chars", counts)):
