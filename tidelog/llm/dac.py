@@ -14,7 +14,9 @@ File layout, integers little-endian:
 
 Files hold ascending ranges of doc_id; a small table of files says where each range starts in the whole
 sequence of ids. Writing shuffles each text once, by range of doc_id. Rows that repeat a doc_id stay next to
-each other in the order of their texts. A null text is an empty one: it has only the end id.
+each other in the order of their texts. A null text is an empty one: it has only the end id. Rows without a doc_id
+have no place in that order and are left out; an empty table gives no files and no rows. A very long text is encoded
+in one piece, and a task holds the ids of its whole file.
 """
 
 from __future__ import annotations

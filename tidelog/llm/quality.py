@@ -102,8 +102,9 @@ def rate(s: K.Slice, m: linear.Model) -> np.ndarray:
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = linear.SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, quality).
 
-    A null text is empty. Repeated rows get equal scores. Without labels every score is 0.5. The model is
-    fitted on at most ``sample`` labelled rows outside the held-out fold.
+    A null text is empty and has the score of the bias. Repeated rows get equal scores, a row without a doc_id is
+    in no fold. An empty table gives an empty one. A very long text is read in one piece. Without labels every
+    score is 0.5. The model is fitted on at most ``sample`` labelled rows outside the held-out fold.
     """
     runtime.ship(docs.sparkSession)
     model = linear.fit(linear.sample(docs, labels, "quality", sample), train)
