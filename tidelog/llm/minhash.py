@@ -361,9 +361,12 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     runtime.ship(docs.sparkSession)
     rested = _long_ids(docs)
     rows = runtime.stored(grouped(rested, width).where("n > 0 AND doc_id IS NOT NULL").select("f", "r", "doc_id", "component"), "groups")
-    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "f", "r")).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
+    # A component is its smallest doc_id, so that all rows but those of that doc_id go without meeting the others.
+    named = rows.where("doc_id = component")
+    best = named.groupBy("component").agg(F.min(F.struct("f", "r")).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
     best = runtime.stored(best, "best-rows")
-    side = Sidecar.write(rows.join(best, "component").where("f != best.f OR r != best.r").select("f", "r"), "duplicates")
+    repeated = named.join(best, "component").where("f != best.f OR r != best.r")
+    side = Sidecar.write(rows.where("doc_id != component").select("f", "r").unionByName(repeated.select("f", "r")), "duplicates")
     columns = rested.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
