@@ -122,19 +122,20 @@ def _near(a: str, b: str):
     return ones <= FAR
 
 
-#: Pairs with the same b that are confirmed by one task.
+#: Pairs with the same b that are confirmed by one task, as long as these make no more than LOTS lots.
 TOGETHER = 256
+LOTS = 1024
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """The ``pairs`` (a, b) of classes whose full sets are similar enough.
 
-    One scan emits the set of each a, and that of each b once for every TOGETHER of its pairs; they meet in lots of
-    (b, lot), where b's set comes first. So a b that very many are compared with is dealt over many tasks, and texts and
-    sets of other rows stay where they are.
+    One scan emits the set of each a, and that of each b once for every TOGETHER of its pairs, LOTS times at most; they
+    meet in lots of (b, lot), where b's set comes first. So a b that very many are compared with is dealt over many
+    tasks, its set is written a bounded number of times, and texts and sets of other rows stay where they are.
     """
     spark = docs.sparkSession
-    lots = runtime.stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).alias("lots")), "pair-lots")
+    lots = runtime.stored(pairs.groupBy("b").agg(F.least(F.ceil(F.count("*") / TOGETHER), F.lit(LOTS)).alias("lots")), "pair-lots")
     asked = pairs.join(lots, "b").select(F.col("a").alias("own"), "b", F.pmod(F.xxhash64("a"), "lots").alias("lot"), F.lit(1).alias("asks"))
     first = lots.select(F.col("b").alias("own"), "b", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"), F.lit(0).alias("asks"))
     spots = classes.select(F.col("id").alias("own"), "f", "r")
