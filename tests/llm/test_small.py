@@ -220,6 +220,20 @@ def test_many_alone_in_a_bucket_are_compared_in_blocks(docs, rows, monkeypatch):
     assert bag(tuple(r) for r in got) == bag(tuple(r) for r in minhash.near_duplicates(docs, 2).collect())
 
 
+def test_few_lots_of_a_class_that_many_are_compared_with(spark, monkeypatch):
+    base = [f"word{k}" for k in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*base, f"only{i}"])) for i in range(12)], "doc_id long, text string")
+    monkeypatch.setattr(minhash, "TOGETHER", 1)
+    monkeypatch.setattr(minhash, "LOTS", 2)
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs, 2).collect()} == {(i, 0) for i in range(12)}
+
+
+def test_rows_that_share_the_smallest_doc_id_leave_one(spark):
+    same, other = " ".join(f"word{k}" for k in range(40)), " ".join(f"else{k}" for k in range(40))
+    docs = spark.createDataFrame([(9, other), (5, same), (7, same), (5, same), (5, same), (7, same + " more")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.deduplicated(docs).collect()) == [(5, same), (9, other)]
+
+
 def test_a_column_called_as_the_readers_own(spark, rows, tmp_path):
     named = spark.createDataFrame(rows, SCHEMA).where("doc_id IS NOT NULL").withColumn("_metadata", F.struct(F.lit(7).alias("row_index")))
     named.write.parquet(str(tmp_path / "d"))
